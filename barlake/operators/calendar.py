@@ -87,18 +87,26 @@ def without_holidays(days: DataFrame, closed: DataFrame) -> DataFrame:
     return days.join(F.broadcast(closed.select("date")), "date", "left_anti")
 
 
-def sessions_after(
+def session_lists(
     last_bars: DataFrame, closed: DataFrame, horizon: int = HORIZON, search_days: int = SEARCH_DAYS
 ) -> DataFrame:
-    """The next ``horizon`` sessions per symbol: (symbol, date, step).
+    """The next ``horizon`` sessions per symbol as one list: (symbol, dates).
 
     Looks ``search_days`` ahead; a longer horizon is cut to the sessions found there. Each symbol
     contributes at most ``search_days`` rows.
     """
     ahead = F.sequence(F.date_add("last_date", 1), F.date_add("last_date", search_days))
     days = last_bars.select("symbol", F.explode(ahead).alias("date")).filter(F.weekday("date") < 5)
-    found = without_holidays(days, closed).groupBy("symbol").agg(F.array_sort(F.collect_list("date")).alias("dates"))
-    return found.select("symbol", F.posexplode(F.slice("dates", 1, horizon)).alias("pos", "date")).select(
+    found = without_holidays(days, closed).groupBy("symbol")
+    return found.agg(F.slice(F.array_sort(F.collect_list("date")), 1, horizon).alias("dates"))
+
+
+def sessions_after(
+    last_bars: DataFrame, closed: DataFrame, horizon: int = HORIZON, search_days: int = SEARCH_DAYS
+) -> DataFrame:
+    """The same, one row per session: (symbol, date, step)."""
+    lists = session_lists(last_bars, closed, horizon, search_days)
+    return lists.select("symbol", F.posexplode("dates").alias("pos", "date")).select(
         "symbol", "date", (F.col("pos") + 1).alias("step")
     )
 

@@ -7,11 +7,14 @@ the order key, so that the SQL checks can spell them the same way. All rows are
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SYSTEM = "tpch_lineitem"
 SPLIT_DATE = "1998-07-01"
 NAN = float("nan")
+PUBLISHED = dt.datetime(2024, 2, 1, 6, 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import load
+    from oracles import forecast, load
 
-    return {**load.SQL}
+    return {**load.SQL, **forecast.SQL}
