@@ -195,21 +195,30 @@ def linear_value(intercept: Column, coef: Column, values: list[Column]) -> Colum
     return total
 
 
-def out_of_fold(segmented: DataFrame, fits: DataFrame) -> DataFrame:
-    """Predictions of every linear candidate on the test blocks.
+def packed_fits(fits: DataFrame) -> DataFrame:
+    """All fits of a symbol in one row (six per candidate), so that joins are on symbol alone and
+    keep the symbol partitioning of the price rows."""
+    fit = F.struct("fit", "model", "model_order", "train_rows", "intercept", "coef")
+    return fits.groupBy("symbol").agg(F.collect_list(fit).alias("fits"))
 
-    The fits are gathered into one row per symbol (six per candidate), so the join keeps the
-    symbol partitioning of the features.
-    """
-    packed = F.collect_list(F.struct("fit", "model", "model_order", "intercept", "coef")).alias("fits")
-    per_symbol = fits.filter(F.col("fit") <= FOLDS).groupBy("symbol").agg(packed)
-    tested = segmented.filter("segment >= 1").join(per_symbol, "symbol")
+
+def out_of_fold(segmented: DataFrame, packed: DataFrame) -> DataFrame:
+    """Predictions of every linear candidate on the test blocks."""
+    tested = segmented.filter("segment >= 1").join(packed, "symbol")
     mine = F.filter("fits", lambda f: f["fit"] == F.col("segment"))
     rows = tested.select("symbol", "segment", "date", "target", *FEATURES, F.inline(mine))
     pred = linear_value(F.col("intercept"), F.col("coef"), [F.col(n) for n in FEATURES])
     return oof_rows(rows.withColumn("pred", pred).withColumn("fold", F.col("segment")))
 
 
+def chosen_final_fits(packed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen rows of linear winners with the refit: plus train_rows, intercept, coef."""
+    final = F.filter("fits", lambda f: (f["fit"] == FINAL_FIT) & (f["model"] == F.col("winner")))
+    wanted = packed.join(chosen.withColumnRenamed("model", "winner").drop("model_order"), "symbol")
+    kept = [c for c in wanted.columns if c not in ("fits", "winner")]
+    return wanted.select(*kept, F.inline(final)).drop("fit", "model_order")
+
+
 def oof_rows(predicted: DataFrame) -> DataFrame:
     return predicted.select(
         "symbol",

@@ -117,7 +117,7 @@ def out_of_fold(frame: DataFrame, candidate: TreeCandidate) -> DataFrame:
         return candidate.make().fit(frame.filter(F.col("segment") < fold))
 
     with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(inheritable_thread_target(fit), range(1, FOLDS + 1))
+        models = pool.map(inheritable_thread_target(frame.sparkSession)(fit), range(1, FOLDS + 1))
     tested = [
         _predicted(model, frame.filter(F.col("segment") == fold)).withColumn("fold", F.lit(fold))
         for fold, model in enumerate(models, start=1)

@@ -87,25 +87,26 @@ def without_holidays(days: DataFrame, closed: DataFrame) -> DataFrame:
     return days.join(F.broadcast(closed.select("date")), "date", "left_anti")
 
 
-def session_lists(
+def with_sessions(
     last_bars: DataFrame, closed: DataFrame, horizon: int = HORIZON, search_days: int = SEARCH_DAYS
 ) -> DataFrame:
-    """The next ``horizon`` sessions per symbol as one list: (symbol, dates).
+    """Adds ``dates``, the next ``horizon`` sessions after ``last_date``, without a shuffle.
 
-    Looks ``search_days`` ahead; a longer horizon is cut to the sessions found there. Each symbol
-    contributes at most ``search_days`` rows.
+    Looks ``search_days`` ahead; a longer horizon is cut to the sessions found there. The holidays
+    (at most ``MAX_YEARS`` x 11 dates plus the closures) come in as one array.
     """
+    holiday_list = closed.agg(F.collect_list("date")).scalar()
     ahead = F.sequence(F.date_add("last_date", 1), F.date_add("last_date", search_days))
-    days = last_bars.select("symbol", F.explode(ahead).alias("date")).filter(F.weekday("date") < 5)
-    found = without_holidays(days, closed).groupBy("symbol")
-    return found.agg(F.slice(F.array_sort(F.collect_list("date")), 1, horizon).alias("dates"))
+    not_closed = last_bars.withColumn("dates", F.array_except(ahead, holiday_list))
+    weekdays = F.filter("dates", lambda d: F.weekday(d) < 5)
+    return not_closed.withColumn("dates", F.slice(weekdays, 1, horizon))
 
 
 def sessions_after(
     last_bars: DataFrame, closed: DataFrame, horizon: int = HORIZON, search_days: int = SEARCH_DAYS
 ) -> DataFrame:
     """The same, one row per session: (symbol, date, step)."""
-    lists = session_lists(last_bars, closed, horizon, search_days)
+    lists = with_sessions(last_bars, closed, horizon, search_days)
     return lists.select("symbol", F.posexplode("dates").alias("pos", "date")).select(
         "symbol", "date", (F.col("pos") + 1).alias("step")
     )

@@ -24,6 +24,12 @@ FEATURES: tuple[str, ...] = (
     "log_volume",
 )
 
+# A row has all features exactly when these are set: a full frame of the widest roll holds every lag
+# and every narrower roll, a return is also empty after a zero price, the rest needs date and
+# volume. Naming six columns instead of nineteen keeps Catalyst's constraint sets small.
+WITNESSES = (f"roll_mean_{max(WIDTHS)}", *[f"ret_{k}" for k in RETURNS], "month", "log_volume")
+
+
 def by_date() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("date")
 
@@ -96,20 +102,20 @@ def feature_matrix(daily: DataFrame) -> DataFrame:
 
 def training_rows(matrix: DataFrame) -> DataFrame:
     """Rows with every feature and the target."""
-    return matrix.dropna(subset=[*FEATURES, "target"])
+    return matrix.dropna(subset=[*WITNESSES, "target"])
 
 
 def scoring_rows(matrix: DataFrame) -> DataFrame:
     """The newest row per symbol with every feature; its target may be missing."""
     window = Window.partitionBy("symbol").orderBy(F.col("date").desc())
-    complete = matrix.dropna(subset=list(FEATURES))
+    complete = matrix.dropna(subset=list(WITNESSES))
     return complete.withColumn("rn", F.row_number().over(window)).filter("rn = 1").drop("rn")
 
 
 def history_check(matrix: DataFrame, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
     """Per symbol: complete training rows and, when too few, the reason to leave it out."""
     complete = F.col("target").isNotNull()
-    for name in FEATURES:
+    for name in WITNESSES:
         complete = complete & F.col(name).isNotNull()
     counted = matrix.groupBy("symbol").agg(F.count_if(complete).alias("train_rows"))
     return counted.withColumn(

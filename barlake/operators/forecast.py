@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barlake import schemas
 from barlake.operators.features import FEATURES
+from barlake.operators.recursion import path_rows, path_spread
 from barlake.operators.selection import band
 
 # Fixed values.
@@ -22,11 +22,10 @@ def resolve_run_id(job_run_id: object | None = None) -> str:
     return UNSCHEDULED if job_run_id is None else str(job_run_id)
 
 
-def forecast_rows(steps: DataFrame, chosen: DataFrame, run_id: str) -> DataFrame:
-    """Forecast table rows from (symbol, step, date, pred) and the chosen model per symbol."""
+def forecast_rows(paths: DataFrame, run_id: str) -> DataFrame:
+    """Forecast table rows from path rows (symbol, model, dates, preds and the choice's numbers)."""
     bounds = band(F.col("pred"), F.col("q_low"), F.col("q_high"))
-    joined = steps.select("symbol", "step", "date", "pred").join(chosen, "symbol")
-    return joined.select(
+    return path_rows(paths).select(
         "symbol",
         F.col("date").cast("timestamp").alias("forecast_date"),
         F.col("step").cast("bigint").alias("horizon_day"),
@@ -35,7 +34,7 @@ def forecast_rows(steps: DataFrame, chosen: DataFrame, run_id: str) -> DataFrame
         F.col("model").alias("model_name"),
         "cv_mae",
         F.lit(run_id).alias("pipeline_run_id"),
-    ).select(schemas.FORECAST.names)
+    )
 
 
 def dispersion(forecast: DataFrame) -> DataFrame:
@@ -57,24 +56,20 @@ def require_moving(forecast: DataFrame, min_std: float = MIN_STD) -> DataFrame:
     return forecast
 
 
-def metrics_rows(forecast: DataFrame, chosen: DataFrame, sizes: DataFrame, run_id: str) -> DataFrame:
-    """One row per symbol; ``sizes`` holds (symbol, train_rows)."""
-    return (
-        chosen.join(dispersion(forecast), "symbol")
-        .join(sizes, "symbol")
-        .select(
-            "symbol",
-            F.col("model").alias("selected_model"),
-            F.col("cv_mae").alias("best_cv_mae"),
-            "pred_std",
-            F.col("train_rows").cast("bigint").alias("train_rows"),
-            F.lit(run_id).alias("pipeline_run_id"),
-        )
+def metrics_rows(paths: DataFrame, run_id: str) -> DataFrame:
+    """One metrics row per path."""
+    return paths.select(
+        "symbol",
+        F.col("model").alias("selected_model"),
+        F.col("cv_mae").alias("best_cv_mae"),
+        path_spread(F.col("preds")).alias("pred_std"),
+        F.col("train_rows").cast("bigint").alias("train_rows"),
+        F.lit(run_id).alias("pipeline_run_id"),
     )
 
 
 def experiment_record(
-    scored: DataFrame, metrics: DataFrame, forecast: DataFrame, run_id: str, horizon: int, min_std: float = MIN_STD
+    scored: DataFrame, paths: DataFrame, run_id: str, horizon: int, min_std: float = MIN_STD
 ) -> DataFrame:
     """Everything worth keeping of a run as (run_id, symbol, kind, key, number, text) rows."""
 
@@ -86,7 +81,7 @@ def experiment_record(
             (F.lit(None) if text is None else text).cast("string").alias("text"),
         )
 
-    per_symbol = metrics.join(dispersion(forecast).select("symbol", "forecast_rows"), "symbol").select(
+    per_symbol = paths.select(
         "symbol",
         F.inline(
             F.array(
@@ -96,10 +91,10 @@ def experiment_record(
                 item("param", "pipeline_run_id", text=F.lit(run_id)),
                 item("param", "train_rows", F.col("train_rows")),
                 item("param", "feature_count", F.lit(len(FEATURES))),
-                item("metric", "best_cv_mae", F.col("best_cv_mae")),
-                item("metric", "pred_std", F.col("pred_std")),
-                item("metric", "forecast_rows", F.col("forecast_rows")),
-                item("tag", "selected_model", text=F.col("selected_model")),
+                item("metric", "best_cv_mae", F.col("cv_mae")),
+                item("metric", "pred_std", path_spread(F.col("preds"))),
+                item("metric", "forecast_rows", F.size("preds")),
+                item("tag", "selected_model", text=F.col("model")),
             )
         ),
     )

@@ -1,6 +1,6 @@
 """Recursive multi-step forecasts from one small state row per symbol.
 
-State: symbol, hist (the last 51 adjusted closes, oldest first), volume, last_date, dates (the
+State: symbol, hist (the last 51 adjusted closes, oldest first), volume, last_date and dates (the
 coming sessions). Each step predicts from the latest bar, floors the result and appends it as the
 next bar, so a step costs the same however long the history is.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlake.learners.linear import linear_value
 from barlake.learners.trees import predict_rows
+from barlake.operators.calendar import HORIZON, with_sessions
 from barlake.operators.features import FEATURES, LAGS, RETURNS, WIDTHS, with_adjusted
 from barlake.session import work_root
 
@@ -22,10 +23,12 @@ PRICE_FLOOR = 0.01
 
 DEPTH = max(WIDTHS) + 1
 CHECKPOINT_EVERY = 5
+# What a path row takes along from the choice, so that no join is needed after the recursion.
+CARRIED = ("cv_mae", "q_low", "q_high", "train_rows")
 
 
-def start_states(daily: DataFrame, sessions: DataFrame) -> DataFrame:
-    """State rows from daily bars and the (symbol, dates) session lists."""
+def start_states(daily: DataFrame, closed: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """State rows from daily bars; only the last 51 bars per symbol leave the map tasks."""
     newest = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     tail = with_adjusted(daily).withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= DEPTH)
     bars = F.array_sort(F.collect_list(F.struct("date", "adj_close", "volume")))
@@ -36,7 +39,7 @@ def start_states(daily: DataFrame, sessions: DataFrame) -> DataFrame:
         F.element_at("bars", -1)["volume"].cast("double").alias("volume"),
         F.element_at("bars", -1)["date"].alias("last_date"),
     )
-    return states.join(sessions, "symbol")
+    return with_sessions(states, closed, horizon)
 
 
 def latest_features(hist: Column, date: Column, volume: Column) -> list[Column]:
@@ -72,9 +75,13 @@ def _appended(hist: Column, pred: Column) -> Column:
     return F.slice(F.concat(hist, F.array(pred)), 2, DEPTH)
 
 
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in df.columns]
+
+
 def linear_paths(states: DataFrame, final_fits: DataFrame) -> DataFrame:
-    """(symbol, model, dates, preds): the whole recursion inside one projection per symbol."""
-    ready = states.join(final_fits.select("symbol", "model", "intercept", "coef"), "symbol")
+    """symbol, model, dates, preds: the whole recursion inside one projection per symbol."""
+    ready = states.join(final_fits, "symbol")
     feature_dates = F.concat(F.array("last_date"), F.col("dates"))
     no_preds = F.array().cast("array<double>")
 
@@ -88,10 +95,12 @@ def linear_paths(states: DataFrame, final_fits: DataFrame) -> DataFrame:
 
     start = F.struct(F.col("hist").alias("hist"), no_preds.alias("preds"))
     steps = F.sequence(F.lit(1), F.size("dates"))
-    walked = ready.filter(F.size("dates") > 0).withColumn("feature_dates", feature_dates).select(
-        "symbol", "model", "dates", F.aggregate(steps, start, step, lambda acc: acc["preds"]).alias("preds")
+    return (
+        ready.filter(F.size("dates") > 0)
+        .withColumn("feature_dates", feature_dates)
+        .withColumn("preds", F.aggregate(steps, start, step, lambda acc: acc["preds"]))
+        .select("symbol", "model", "dates", "preds", *_carried(ready))
     )
-    return walked
 
 
 def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> DataFrame:
@@ -105,12 +114,13 @@ def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> Da
     # The longest session list decides how many steps are planned; it is at most the horizon asked for.
     steps = states.agg(F.max(F.size("dates"))).first()[0] or 0
     kept = ("symbol", "volume", "last_date", "dates", "hist", "preds")
-    rows = states.withColumn("preds", F.array().cast("array<double>")).select(*kept)
+    carried = _carried(states)
+    rows = states.withColumn("preds", F.array().cast("array<double>")).select(*kept, *carried)
     for i in range(steps):
         date = F.col("last_date") if i == 0 else F.get("dates", F.lit(i - 1))
         values = latest_features(F.col("hist"), F.coalesce(date, F.col("last_date")), F.col("volume"))
         wide = rows.select(
-            *kept, F.col("hist")[DEPTH - 1].alias("adj_close"), *[v.alias(n) for v, n in zip(values, FEATURES)]
+            *kept, *carried, F.col("hist")[DEPTH - 1].alias("adj_close"), *[v.alias(n) for v, n in zip(values, FEATURES)]
         )
         pred = F.greatest(F.col("pred"), F.lit(PRICE_FLOOR))
         stepped = predict_rows(model, wide, relative).withColumn("pred", pred)
@@ -118,10 +128,11 @@ def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> Da
             *kept[:4],
             _appended(F.col("hist"), F.col("pred")).alias("hist"),
             F.when(F.size("dates") > i, F.concat("preds", F.array("pred"))).otherwise(F.col("preds")).alias("preds"),
+            *carried,
         )
         if (i + 1) % CHECKPOINT_EVERY == 0:
             rows = rows.checkpoint()
-    return rows.select("symbol", F.lit(name).alias("model"), "dates", "preds")
+    return rows.select("symbol", F.lit(name).alias("model"), "dates", "preds", *carried)
 
 
 def all_paths(parts: list[DataFrame]) -> DataFrame:
@@ -129,8 +140,15 @@ def all_paths(parts: list[DataFrame]) -> DataFrame:
 
 
 def path_rows(paths: DataFrame) -> DataFrame:
-    """(symbol, model, step, date, pred)."""
+    """One row per step: symbol, model, step, date, pred and what the path carried along."""
     zipped = F.arrays_zip(F.col("dates").alias("date"), F.col("preds").alias("pred"))
-    return paths.select("symbol", "model", F.posexplode(zipped).alias("pos", "bar")).select(
-        "symbol", "model", (F.col("pos") + 1).alias("step"), F.col("bar.date").alias("date"), F.col("bar.pred").alias("pred")
+    carried = _carried(paths)
+    return paths.select("symbol", "model", *carried, F.posexplode(zipped).alias("pos", "bar")).select(
+        "symbol", "model", *carried, (F.col("pos") + 1).alias("step"), "bar.date", "bar.pred"
     )
+
+
+def path_spread(preds: Column) -> Column:
+    """Sample standard deviation of a path; NULL for a single step."""
+    n = F.size(preds)
+    return F.when(n > 1, F.sqrt(_square_spread(preds, _total(preds) / n) / (n - 1)))

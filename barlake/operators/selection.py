@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlake.operators.splits import FOLDS
+
 # Fixed values.
 BAND_QUANTILES = (0.1, 0.9)
 MIN_RESIDUALS = 30
@@ -30,11 +32,17 @@ def cv_mae(folds: DataFrame) -> DataFrame:
 def residual_bounds(oof: DataFrame) -> DataFrame:
     """CV error and pooled 0.1 / 0.9 residual quantiles; with few residuals plus and minus the error.
 
-    A symbol's residuals number at most its dates, so the exact percentile's buffer stays small.
+    One grouped pass: the fold errors are conditional averages. A symbol's residuals number at most
+    its dates, so the exact percentile's buffer stays small.
     """
-    lows = F.percentile("residual", list(BAND_QUANTILES))
-    pooled = oof.groupBy("symbol", "model").agg(lows.alias("q"))
-    scored = cv_mae(fold_mae(oof)).join(pooled, ["symbol", "model"])
+    errors = F.array(*[F.avg(F.when(F.col("fold") == k, F.abs("residual"))) for k in range(1, FOLDS + 1)])
+    pooled = oof.groupBy(*_MODEL).agg(
+        F.filter(errors, lambda e: e.isNotNull()).alias("fold_errors"),
+        F.count(F.lit(1)).alias("residual_rows"),
+        F.percentile("residual", list(BAND_QUANTILES)).alias("q"),
+    )
+    total = F.aggregate("fold_errors", F.lit(0.0), lambda a, x: a + x)
+    scored = pooled.withColumn("cv_mae", total / F.size("fold_errors"))
     enough = F.col("residual_rows") >= MIN_RESIDUALS
     return scored.select(
         *_MODEL,

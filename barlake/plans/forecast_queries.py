@@ -22,8 +22,8 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.daily_from_raw(given.raw_prices(spark, sf))
 
 
-def _check(spark: SparkSession, sf: str, job_run_id: object | None = None) -> forecasting.Outcome:
-    return forecasting.check_forecast(_daily(spark, sf), job_run_id)
+def _check(spark: SparkSession, sf: str, job_run_id: object | None = None) -> forecasting.CheckRun:
+    return forecasting.CheckRun(_daily(spark, sf), job_run_id)
 
 
 def _segmented(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,13 +107,7 @@ def _small_trees() -> list[trees.TreeCandidate]:
 
 
 def g6_out_of_fold_all(spark: SparkSession, sf: str) -> DataFrame:
-    work_root(spark)
-    segmented = _segmented(spark, sf).checkpoint()
-    frame = trees.training_frame(segmented, True)
-    oof = linear.out_of_fold(segmented, linear.elastic_net_fits(segmented))
-    for candidate in _small_trees():
-        oof = oof.unionByName(trees.out_of_fold(frame, candidate))
-    return report(oof, 4)
+    return report(forecasting.FullRun(_daily(spark, sf), _small_trees()).oof, 4)
 
 
 def g7_model_choice(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,9 +116,8 @@ def g7_model_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 def g8_refit(spark: SparkSession, sf: str) -> DataFrame:
     """The final fit of each symbol's chosen candidate."""
-    done = _check(spark, sf)
-    final = done.fits.filter(F.col("fit") == splits.FINAL_FIT).join(done.chosen.select("symbol", "model"), ["symbol", "model"])
     slope = F.aggregate("coef", F.lit(0.0), lambda a, x: a + x)
+    final = _check(spark, sf).final_fits  # one row per symbol
     return report(final.select("symbol", "model", "train_rows", slope.alias("slope"), "intercept"), 6, intercept=4)
 
 
@@ -153,15 +146,15 @@ def g10_recursive_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def g10_recursive_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
     daily = medallion.daily_from_raw(given.raw_supplier_prices(spark, sf))
-    segmented = forecasting.segmented_rows(daily)
-    fits = linear.elastic_net_fits(segmented).filter(F.col("fit") == splits.FINAL_FIT)
-    return report(recursion.path_rows(recursion.linear_paths(forecasting.states(daily, calendar.HORIZON), fits)), 4)
+    fits = linear.elastic_net_fits(forecasting.segmented_rows(daily)).filter(F.col("fit") == splits.FINAL_FIT)
+    states = recursion.start_states(daily, calendar.holidays(spark))
+    return report(recursion.path_rows(recursion.linear_paths(states, fits)), 4)
 
 
 def g10_recursive_all(spark: SparkSession, sf: str) -> DataFrame:
     """Choice among all real candidates per symbol and the winner's path."""
     daily = _daily(spark, sf)
-    return report(forecasting.full_forecast(daily, _small_trees()).forecast, 4)
+    return report(forecasting.FullRun(daily, _small_trees()).forecast, 4)
 
 
 def g11_sessions(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,98 +15,137 @@ from barlake.session import work_root
 CHECK_CANDIDATES = {"ols_lag_1": "lag_close_1", "ols_mean_5": "roll_mean_5"}
 
 
-@dataclass(frozen=True)
-class Outcome:
-    segmented: DataFrame
-    fits: DataFrame
-    oof: DataFrame
-    scored: DataFrame
-    chosen: DataFrame
-    paths: DataFrame
-    forecast: DataFrame
-    metrics: DataFrame
-    record: DataFrame
-
-
 def segmented_rows(daily: DataFrame, min_rows: int = features.MIN_TRAIN_ROWS) -> DataFrame:
     """Training rows of every symbol with enough history, cut into segments."""
     train = features.training_rows(features.feature_matrix(daily))
     return splits.with_segments(features.enough_history(train, min_rows))
 
 
-def states(daily: DataFrame, horizon: int) -> DataFrame:
-    closed = calendar.holidays(daily.sparkSession)
-    return recursion.start_states(daily, calendar.session_lists(calendar.last_bars(daily), closed, horizon))
-
-
 def sizes(segmented: DataFrame) -> DataFrame:
     return segmented.groupBy("symbol").agg(F.count(F.lit(1)).alias("train_rows"))
 
 
-def _finish(segmented, fits, oof, paths_of, run_id: str, horizon: int) -> Outcome:
-    scored = selection.residual_bounds(oof)
-    chosen = selection.choose_model(scored)
-    paths = paths_of(chosen)
-    rows = FC.forecast_rows(recursion.path_rows(paths), chosen, run_id)
-    metrics = FC.metrics_rows(rows, chosen, sizes(segmented), run_id)
-    record = FC.experiment_record(scored, metrics, rows, run_id, horizon)
-    return Outcome(segmented, fits, oof, scored, chosen, paths, rows, metrics, record)
+class CheckRun:
+    """The forecast job with the deterministic candidates: lazy frames, no action.
+
+    Everything after the feature shuffle stays partitioned by symbol.
+    """
+
+    def __init__(self, daily: DataFrame, job_run_id: object | None = None, horizon: int = calendar.HORIZON) -> None:
+        self.daily = daily
+        self.run_id = FC.resolve_run_id(job_run_id)
+        self.horizon = horizon
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        return segmented_rows(self.daily)
+
+    @cached_property
+    def fits(self) -> DataFrame:
+        return linear.single_feature_fits(self.segmented, CHECK_CANDIDATES)
 
+    @cached_property
+    def packed(self) -> DataFrame:
+        return linear.packed_fits(self.fits)
 
-def linear_paths(daily: DataFrame, fits: DataFrame, chosen: DataFrame, horizon: int) -> DataFrame:
-    final = fits.filter(F.col("fit") == splits.FINAL_FIT).join(chosen.select("symbol", "model"), ["symbol", "model"])
-    return recursion.linear_paths(states(daily, horizon), final)
+    @cached_property
+    def oof(self) -> DataFrame:
+        return linear.out_of_fold(self.segmented, self.packed)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return selection.residual_bounds(self.oof)
 
-def check_forecast(daily: DataFrame, job_run_id: object | None = None, horizon: int = calendar.HORIZON) -> Outcome:
-    """The whole job with the deterministic candidates; one lazy plan, no action."""
-    segmented = segmented_rows(daily)
-    fits = linear.single_feature_fits(segmented, CHECK_CANDIDATES)
-    oof = linear.out_of_fold(segmented, fits)
-    return _finish(
-        segmented, fits, oof, lambda chosen: linear_paths(daily, fits, chosen, horizon), FC.resolve_run_id(job_run_id), horizon
-    )
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return selection.choose_model(self.scored)
+
+    @cached_property
+    def states(self) -> DataFrame:
+        closed = calendar.holidays(self.daily.sparkSession)
+        return recursion.start_states(self.daily, closed, self.horizon)
+
+    @cached_property
+    def final_fits(self) -> DataFrame:
+        return linear.chosen_final_fits(self.packed, self.chosen)
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return recursion.linear_paths(self.states, self.final_fits)
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return FC.forecast_rows(self.paths, self.run_id)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return FC.metrics_rows(self.paths, self.run_id)
+
+    @cached_property
+    def record(self) -> DataFrame:
+        return FC.experiment_record(self.scored, self.paths, self.run_id, self.horizon)
 
 
 def default_trees() -> list[trees.TreeCandidate]:
     return [trees.random_forest(), trees.gradient_boosting(), *trees.optional_boosting()]
 
 
-def full_forecast(
-    daily: DataFrame,
-    candidates: Sequence[trees.TreeCandidate] | None = None,
-    job_run_id: object | None = None,
-    horizon: int = calendar.HORIZON,
-    relative: bool = True,
-) -> Outcome:
-    """Elastic net per symbol and the tree candidates.
+class FullRun(CheckRun):
+    """Elastic net per symbol and the tree candidates; frames used by many fits are checkpointed.
 
     Folds, scores and the choice are per symbol. ``relative=False`` is for one symbol; with
-    many, trees share one scaled panel.
+    many, the trees share one scaled panel.
     """
-    work_root(daily.sparkSession)
-    candidates = default_trees() if candidates is None else list(candidates)
-    segmented = segmented_rows(daily).checkpoint()
-    fits = linear.elastic_net_fits(segmented).checkpoint()
-    frame = trees.training_frame(segmented, relative)
-    oof = linear.out_of_fold(segmented, fits)
-    for candidate in candidates:
-        oof = oof.unionByName(trees.out_of_fold(frame, candidate))
-    oof = oof.checkpoint()
-
-    def paths_of(chosen: DataFrame) -> DataFrame:
-        parts = [linear_paths(daily, fits, chosen, horizon)]
+
+    def __init__(
+        self,
+        daily: DataFrame,
+        candidates: Sequence[trees.TreeCandidate] | None = None,
+        job_run_id: object | None = None,
+        horizon: int = calendar.HORIZON,
+        relative: bool = True,
+    ) -> None:
+        super().__init__(daily, job_run_id, horizon)
+        work_root(daily.sparkSession)
+        self.candidates = default_trees() if candidates is None else list(candidates)
+        self.relative = relative
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        return segmented_rows(self.daily).checkpoint()
+
+    @cached_property
+    def fits(self) -> DataFrame:
+        return linear.elastic_net_fits(self.segmented).checkpoint()
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return trees.training_frame(self.segmented, self.relative)
+
+    @cached_property
+    def oof(self) -> DataFrame:
+        rows = linear.out_of_fold(self.segmented, self.packed)
+        for candidate in self.candidates:
+            rows = rows.unionByName(trees.out_of_fold(self.frame, candidate))
+        return rows.checkpoint()
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return selection.choose_model(self.scored).checkpoint()
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        start = self.states.checkpoint()
+        parts = [recursion.linear_paths(start, self.final_fits)]
         # At most one name per candidate comes back.
-        winners = {r.model for r in chosen.select("model").distinct().collect()}
-        start = states(daily, horizon).checkpoint()
-        for candidate in candidates:
+        winners = {r.model for r in self.chosen.select("model").distinct().collect()}
+        picked = self.chosen.join(sizes(self.segmented), "symbol")
+        for candidate in self.candidates:
             if candidate.name in winners:
-                mine = start.join(chosen.filter(F.col("model") == candidate.name).select("symbol"), "symbol", "left_semi")
-                model = trees.final_fit(frame, candidate)
-                parts.append(recursion.tree_paths(mine, model, candidate.name, relative))
-        return recursion.all_paths(parts)
-
-    return _finish(segmented, fits, oof, paths_of, FC.resolve_run_id(job_run_id), horizon)
+                own = start.join(picked.filter(F.col("model") == candidate.name).drop("model"), "symbol")
+                model = trees.final_fit(self.frame, candidate)
+                parts.append(recursion.tree_paths(own, model, candidate.name, self.relative))
+        return recursion.all_paths(parts).checkpoint()
 
 
 def candidate_roster(segmented: DataFrame) -> DataFrame:
