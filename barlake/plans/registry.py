@@ -8,7 +8,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.plans import forecast_queries, load_queries
+from barlake.plans import forecast_queries, load_queries, signal_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,4 +20,4 @@ def _registered(*modules: ModuleType) -> dict[str, Query]:
     }
 
 
-QUERIES = _registered(load_queries, forecast_queries)
+QUERIES = _registered(load_queries, forecast_queries, signal_queries)

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import forecast, load
+    from oracles import forecast, load, serve
 
-    return {**load.SQL, **forecast.SQL}
+    return {**load.SQL, **forecast.SQL, **serve.SQL}
