@@ -38,10 +38,9 @@ def _typed(value: Column, source: T.DataType, target: str) -> Column:
     if target == "double":
         return number(value.try_cast("double"))
     if target == "bigint":
-        whole = value.try_cast("bigint")
-        if isinstance(source, T.StringType):
-            return F.coalesce(whole, value.try_cast("double").try_cast("bigint"))
-        return whole
+        # Text such as "12.0" is a whole number too; a decimal keeps all digits of a long one.
+        exact = value.try_cast("decimal(38,18)") if isinstance(source, T.StringType) else value
+        return exact.try_cast("bigint")
     if target == "date":
         return F.to_date(value.try_cast("timestamp"))
     return value.try_cast(target)

@@ -68,7 +68,12 @@ def _total(values: Column) -> Column:
 
 
 def _square_spread(values: Column, mean: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    """Sum of squared distances; the one-element array lets the mean be worked out once."""
+
+    def around(m: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+
+    return F.transform(F.array(mean), around)[0]
 
 
 def _appended(hist: Column, pred: Column) -> Column:

@@ -14,6 +14,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The elastic-net sums have some 240 columns; beyond this limit they run without codegen.
+        .config("spark.sql.codegen.maxFields", "400")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlake import schemas
 
+BUCKET = "symbol_bucket"
 REJECT_KEY = ("symbol", "date", "ingestion_ts", "ingestion_run_id", "quality_issue")
 
 
@@ -23,23 +24,26 @@ def create_table(spark: SparkSession, name: str, ddl: str, partition_by: Sequenc
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{parts}")
 
 
-def create_clean_table(spark: SparkSession, name: str) -> None:
-    create_table(spark, name, schemas.CLEAN_DDL, ["symbol"])
+def create_clean_table(spark: SparkSession, name: str, bucketed: bool = False) -> None:
+    """Clean bars, one folder per symbol, or per hash bucket of symbols for a large universe."""
+    if bucketed:
+        create_table(spark, name, f"{schemas.CLEAN_DDL}, {BUCKET} int", [BUCKET])
+    else:
+        create_table(spark, name, schemas.CLEAN_DDL, ["symbol"])
 
 
 def create_reject_table(spark: SparkSession, name: str) -> None:
     create_table(spark, name, schemas.REJECT_DDL)
 
 
-def append_raw(df: DataFrame, table: str) -> None:
-    """Append log partitioned by ingestion date.
+def append_raw(df: DataFrame, table: str, cluster_by: Sequence[str] = ("source_symbol", "date")) -> None:
+    """Append log partitioned by ingestion date, clustered by symbol.
 
-    The AQE rebalance hint gives each date its rows in files of even size and splits a date that
-    holds a large share of the batch over several tasks.
+    A run has one ingestion date, so the rows are not shuffled by it. The date in the clustering
+    lets a symbol with a large share of the run fill several files.
     """
-    df.hint("rebalance", "ingestion_date").write.mode("append").format("parquet").partitionBy(
-        "ingestion_date"
-    ).saveAsTable(table)
+    rows = clustered(df, *cluster_by) if cluster_by else df
+    rows.write.mode("append").format("parquet").partitionBy("ingestion_date").saveAsTable(table)
 
 
 def clustered(df: DataFrame, *columns: str) -> DataFrame:
@@ -68,7 +72,9 @@ def append_rejects(rejects: DataFrame, table: str) -> None:
     spark = rejects.sparkSession
     create_reject_table(spark, table)
     fresh = unseen_rejects(rejects, spark.table(table)).select(schemas.REJECTS.names)
-    clustered(fresh, "quality_issue", "ingestion_date").write.mode("append").format("parquet").saveAsTable(table)
+    # Symbol and date only split an issue that holds a large share of the rejects.
+    order = ("quality_issue", "ingestion_date", "symbol", "date")
+    clustered(fresh, *order).write.mode("append").format("parquet").saveAsTable(table)
 
 
 def newest(df: DataFrame, n: int, *order) -> DataFrame:
