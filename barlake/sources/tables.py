@@ -71,6 +71,7 @@ def append_rejects(rejects: DataFrame, table: str) -> None:
     """Idempotent append: a second run over the same raw rows adds nothing."""
     spark = rejects.sparkSession
     create_reject_table(spark, table)
+    spark.catalog.refreshTable(table)
     fresh = unseen_rejects(rejects, spark.table(table)).select(schemas.REJECTS.names)
     # Symbol and date only split an issue that holds a large share of the rejects.
     order = ("quality_issue", "ingestion_date", "symbol", "date")
