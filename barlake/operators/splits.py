@@ -17,12 +17,11 @@ def with_segments(train: DataFrame) -> DataFrame:
     """
     by_date = Window.partitionBy("symbol").orderBy("date")
     whole = Window.partitionBy("symbol")
-    placed = train.withColumns(
-        {
-            "pos": F.row_number().over(by_date) - 1,
-            "train_rows": F.count(F.lit(1)).over(whole),
-        }
-    ).withColumn("block", F.floor(F.col("train_rows") / (FOLDS + 1)))
+    # The history check has counted the rows already.
+    sized = train if "train_rows" in train.columns else train.withColumn("train_rows", F.count(F.lit(1)).over(whole))
+    placed = sized.withColumns(
+        {"pos": F.row_number().over(by_date) - 1, "block": F.floor(F.col("train_rows") / (FOLDS + 1))}
+    )
     first_test = F.col("train_rows") - FOLDS * F.col("block")
     segment = F.when(F.col("pos") < first_test, F.lit(0)).otherwise(
         F.floor((F.col("pos") - first_test) / F.col("block")) + 1

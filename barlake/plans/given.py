@@ -121,8 +121,14 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def _events(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = (), since: str | None = None) -> DataFrame:
+    """Events by symbol; the filters stay on the stored columns, so they reach the scan."""
+    events = table(spark, sf_dir, "events")
+    if kinds:
+        events = events.filter(F.col("event_type").isin(*kinds))
+    if since:
+        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return events.select(
         F.col("event_id"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -151,37 +157,29 @@ def served_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one kind as exposed next-day rows (many versions per symbol)."""
     key = F.col("event_id")
     value = F.col("value")
-    return (
-        _events(spark, sf_dir)
-        .filter((F.col("event_type") == "purchase") & (F.date_trunc("day", "ts") >= F.lit("2024-01-25").cast("timestamp")))
-        .select(
-            "symbol",
-            F.to_date("ts").alias("next_trading_day"),
-            F.when(key % 19 != 0, value).alias("predicted_close"),
-            F.when(key % 23 != 0, value - value * (key % 5) * 0.004).alias("predicted_low_80"),
-            F.when(key % 23 != 0, value + value * (key % 7) * 0.002).alias("predicted_high_80"),
-            F.col("event_type").alias("model_name"),
-            F.when(key % 13 != 0, (key % 11) * 0.15).alias("cv_mae"),
-            F.col("ts").alias("exposed_ts"),
-        )
+    return _events(spark, sf_dir, ("purchase",), "2024-01-25").select(
+        "symbol",
+        F.to_date("ts").alias("next_trading_day"),
+        F.when(key % 19 != 0, value).alias("predicted_close"),
+        F.when(key % 23 != 0, value - value * (key % 5) * 0.004).alias("predicted_low_80"),
+        F.when(key % 23 != 0, value + value * (key % 7) * 0.002).alias("predicted_high_80"),
+        F.col("event_type").alias("model_name"),
+        F.when(key % 13 != 0, (key % 11) * 0.15).alias("cv_mae"),
+        F.col("ts").alias("exposed_ts"),
     )
 
 
 def served_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two kinds as published metrics rows."""
     key = F.col("event_id")
-    return (
-        _events(spark, sf_dir)
-        .filter(F.col("event_type").isin("error", "signup") & (F.date_trunc("day", "ts") >= F.lit("2024-01-22").cast("timestamp")))
-        .select(
-            "symbol",
-            F.when(key % 29 != 0, F.col("event_type")).alias("selected_model"),
-            F.when(key % 31 != 0, (key % 11) * 0.15).alias("best_cv_mae"),
-            ((key % 13) * 0.6).alias("pred_std"),
-            (key % 1000).alias("train_rows"),
-            F.concat(F.lit("run-"), (key + 1_000_000_000).cast("string")).alias("pipeline_run_id"),
-            F.col("ts").alias("loaded_ts"),
-        )
+    return _events(spark, sf_dir, ("error", "signup"), "2024-01-22").select(
+        "symbol",
+        F.when(key % 29 != 0, F.col("event_type")).alias("selected_model"),
+        F.when(key % 31 != 0, (key % 11) * 0.15).alias("best_cv_mae"),
+        ((key % 13) * 0.6).alias("pred_std"),
+        (key % 1000).alias("train_rows"),
+        F.concat(F.lit("run-"), (key + 1_000_000_000).cast("string")).alias("pipeline_run_id"),
+        F.col("ts").alias("loaded_ts"),
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, functions as F
 
 from barlake.operators import conform as C, dedup, features, quality
 from barlake.operators.upsert import upsert_table
@@ -31,9 +33,16 @@ def matrix_from_raw(raw: DataFrame) -> DataFrame:
     return features.feature_matrix(daily_from_raw(raw))
 
 
-def refresh_clean(raw: DataFrame, clean_table: str, reject_table: str) -> DataFrame:
-    """One load: upsert the valid rows, append the new rejects, return the counts."""
-    rows = labelled(raw)
-    upsert_table(quality.valid_rows(rows), clean_table)
+def refresh_clean(
+    raw: DataFrame, clean_table: str, reject_table: str, since: dt.date | str | None = None, buckets: int | None = None
+) -> DataFrame:
+    """One load: upsert the valid rows, append the new rejects, return the counts.
+
+    ``since`` takes only raw rows ingested from that date on (whole folders of the log are skipped);
+    as the upsert is idempotent this ends where a load of everything would.
+    """
+    fresh = raw if since is None else raw.filter(F.col("ingestion_date") >= F.lit(str(since)).cast("date"))
+    rows = labelled(fresh)
+    upsert_table(quality.valid_rows(rows), clean_table, buckets)
     append_rejects(quality.rejected_rows(rows), reject_table)
     return quality.load_counts(rows)

@@ -126,6 +126,22 @@ def test_refresh_twice_changes_nothing(spark, namespace):
     assert values(spark.table(names[1]), "quality_issue") == [("open_null",), ("symbol_null",), ("volume_negative",)]
 
 
+def test_loads_by_ingestion_date_end_like_one_load(spark, namespace):
+    log = clean(
+        spark, clean_row(close=1.0), clean_row(day=2, open=None),
+        clean_row(close=2.0, ts=LATER, ingestion_date=dt.date(2024, 1, 3)), clean_row(day=3, ingestion_date=dt.date(2024, 1, 3)),
+    ).withColumnRenamed("symbol", "source_symbol")
+    tables.append_raw(log, f"{namespace}.raw")
+    raw = spark.table(f"{namespace}.raw")
+    medallion.refresh_clean(raw.filter("ingestion_date < '2024-01-03'"), f"{namespace}.a", f"{namespace}.ra")
+    step = medallion.refresh_clean(raw, f"{namespace}.a", f"{namespace}.ra", since="2024-01-03")
+    medallion.refresh_clean(raw, f"{namespace}.b", f"{namespace}.rb", buckets=4)
+    assert step.first().total_rows == 2
+    for one, other in (("a", "b"), ("ra", "rb")):
+        names = schemas.CLEAN.names
+        assert values(spark.table(f"{namespace}.{one}"), *names) == values(spark.table(f"{namespace}.{other}"), *names)
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_file_sources(spark, tmp_path, fmt):
     rows = spark.createDataFrame(
