@@ -1,7 +1,7 @@
 """Registered queries: folds, candidates, selection, forecasts, run record.
 
 Queries with a SQL check use the deterministic one-feature candidates; the others fit the real
-candidates (with fewer trees than the defaults, which are parameters).
+candidates (with fewer trees and bins than the defaults, which are parameters).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from barlake.session import work_root
 
 TREES = 20
 ROUNDS = 10
+BINS = 64
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,11 +88,11 @@ def _tree_oof(spark: SparkSession, sf: str, candidate: trees.TreeCandidate) -> D
 
 
 def g3_random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_oof(spark, sf, trees.random_forest(TREES))
+    return _tree_oof(spark, sf, trees.random_forest(TREES, bins=BINS))
 
 
 def g4_gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_oof(spark, sf, trees.gradient_boosting(ROUNDS))
+    return _tree_oof(spark, sf, trees.gradient_boosting(ROUNDS, bins=BINS))
 
 
 def g5_candidate_roster(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +104,7 @@ def g6_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _small_trees() -> list[trees.TreeCandidate]:
-    return [trees.random_forest(TREES), trees.gradient_boosting(ROUNDS), *trees.optional_boosting()]
+    return [trees.random_forest(TREES, bins=BINS), trees.gradient_boosting(ROUNDS, bins=BINS), *trees.optional_boosting()]
 
 
 def g6_out_of_fold_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +127,7 @@ def g8_refit_forest(spark: SparkSession, sf: str) -> DataFrame:
     work_root(spark)
     matrix = medallion.matrix_from_raw(given.raw_prices(spark, sf)).checkpoint()
     segmented = splits.with_segments(features.enough_history(features.training_rows(matrix)))
-    model = trees.final_fit(trees.training_frame(segmented, True), trees.random_forest(TREES))
+    model = trees.final_fit(trees.training_frame(segmented, True), trees.random_forest(TREES, bins=BINS))
     scored = trees.predict_rows(model, features.scoring_rows(matrix), True)
     return report(scored.select("symbol", "date", "adj_close", "pred"), 4)
 

@@ -37,18 +37,18 @@ def create_reject_table(spark: SparkSession, name: str) -> None:
 
 
 def append_raw(df: DataFrame, table: str, cluster_by: Sequence[str] = ("source_symbol", "date")) -> None:
-    """Append log partitioned by ingestion date, clustered by symbol.
-
-    A run has one ingestion date, so the rows are not shuffled by it. The date in the clustering
-    lets a symbol with a large share of the run fill several files.
-    """
+    """Append log partitioned by ingestion date, clustered by symbol."""
     rows = clustered(df, *cluster_by) if cluster_by else df
     rows.write.mode("append").format("parquet").partitionBy("ingestion_date").saveAsTable(table)
 
 
-def clustered(df: DataFrame, *columns: str) -> DataFrame:
-    """Range-partitioned and sorted rows, so file statistics let readers skip files."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+def clustered(df: DataFrame, first: str, *others: str) -> DataFrame:
+    """Rows gathered by the first column and sorted by all, so file statistics let readers skip.
+
+    The rebalance hint evens out the files: small groups share one, and a value that holds a large
+    share of the rows, whatever its other columns say, is split over several tasks.
+    """
+    return df.hint("rebalance", first).sortWithinPartitions(first, *others)
 
 
 def overwrite_snapshot(df: DataFrame, table: str) -> None:
@@ -73,9 +73,7 @@ def append_rejects(rejects: DataFrame, table: str) -> None:
     create_reject_table(spark, table)
     spark.catalog.refreshTable(table)
     fresh = unseen_rejects(rejects, spark.table(table)).select(schemas.REJECTS.names)
-    # Symbol and date only split an issue that holds a large share of the rejects.
-    order = ("quality_issue", "ingestion_date", "symbol", "date")
-    clustered(fresh, *order).write.mode("append").format("parquet").saveAsTable(table)
+    clustered(fresh, "quality_issue", "ingestion_date").write.mode("append").format("parquet").saveAsTable(table)
 
 
 def newest(df: DataFrame, n: int, *order) -> DataFrame:

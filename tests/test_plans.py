@@ -106,3 +106,22 @@ def test_many_versions_of_one_hot_bar(spark):
 
 def test_views_are_plain_relations(spark, raw):
     assert prices.publish_view(raw, "raw_view").count() == raw.count()
+
+
+def test_a_hot_symbol_is_written_by_several_tasks(spark, namespace):
+    """All rows share symbol and date; the clustered write still makes several files."""
+    from barlake.sources import tables
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64kb")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16kb")
+    try:
+        rows = spark.range(0, 200000, 1, 8).select(
+            F.lit("HOT").alias("source_symbol"), F.lit("2024-01-02").cast("date").alias("date"), F.rand(1).alias("close"),
+            F.lit("2024-01-03").cast("date").alias("ingestion_date"),
+        )
+        tables.append_raw(rows, f"{namespace}.raw")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    stored = spark.table(f"{namespace}.raw")
+    assert stored.count() == 200000 and len(stored.inputFiles()) >= 4
