@@ -11,12 +11,14 @@ def rounded(value: Column, digits: int) -> Column:
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
-def report(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+def report(df: DataFrame, digits: int | None = 6, **special: int | None) -> DataFrame:
+    """Digits per column, else ``digits``; None leaves a value as it is."""
     out = []
     for field in df.schema.fields:
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            value = rounded(value, special.get(field.name, digits))
+            places = special.get(field.name, digits)
+            value = value if places is None else rounded(value, places)
         elif isinstance(field.dataType, T.DateType):
             value = F.date_format(value, "yyyy-MM-dd")
         elif isinstance(field.dataType, T.TimestampType):

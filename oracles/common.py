@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 
-def rd(expr: str, digits: int) -> str:
-    """Rounded, with minus zero written as zero."""
+def rd(expr: str, digits: int | None) -> str:
+    """Rounded, with minus zero written as zero; as it is without digits."""
+    if digits is None:
+        return expr
     return f"(CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END)"
 
 

@@ -22,7 +22,7 @@ _TEXT_BAR = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {rd(c, 6)} END AS {c
 
 
 def _matrix(name: str, **extra) -> str:
-    special = {"ret_1": 8, "ret_5": 8, **{f"roll_std_{w}": 4 for w in (5, 10, 20, 50)}}
+    special = {"ret_1": None, "ret_5": None, **{f"roll_std_{w}": 4 for w in (5, 10, 20, 50)}}
     cols = ", ".join(f"{rd(n, special.get(n, 6))} AS {n}" for n in ("close", "adj_close", *FEATURE_NAMES, "target"))
     return with_parts(f"SELECT symbol, {day('date')} AS date, volume, {cols} FROM {name}", name, **extra)
 
@@ -149,7 +149,7 @@ ON t.symbol = s.symbol""", "matrix", "train", **_RAW),
         "daily", "holidays"),
     "e1_target": _feature(["target"]),
     "e2_lags": _feature([f"lag_close_{k}" for k in (1, 2, 3, 5, 10, 20)]),
-    "e3_returns": _feature(["ret_1", "ret_5"], 8),
+    "e3_returns": _feature(["ret_1", "ret_5"], None),
     "e4_roll_mean": _feature([f"roll_mean_{w}" for w in (5, 10, 20, 50)]),
     "e5_roll_std": _feature([f"roll_std_{w}" for w in (5, 10, 20, 50)], 4),
     "e6_calendar_parts": with_parts(
