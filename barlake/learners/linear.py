@@ -7,11 +7,13 @@ per (symbol, segment) hold all six fits and the price rows are scanned once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlake.operators.features import FEATURES
@@ -31,6 +33,9 @@ _PAIRS = list(combinations_with_replacement(range(_WIDTH + 1), 2))
 _PRICE_LEVEL = [n.startswith(("lag_close", "roll_mean")) for n in FEATURES]
 _SLICE = 256
 
+# The solver travels to the workers as code, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def single_feature_fits(segmented: DataFrame, candidates: dict[str, str]) -> DataFrame:
     """Least squares of the target on one feature each, per symbol and fit, in one pass.

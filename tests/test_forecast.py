@@ -142,6 +142,18 @@ def test_elastic_net_equals_plain_descent(spark):
         np.testing.assert_allclose(mine, theirs, rtol=2e-5)
 
 
+def test_solver_needs_no_package_on_the_workers():
+    """Unpickling it in a Python that cannot see this repository works."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); print(f.__name__, 'barlake' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(linear._solve), cwd="/", capture_output=True, check=True)
+    assert out.stdout.decode().split() == ["_solve", "False"]
+
+
 def walk_by_pandas(frame, sessions, predict):
     """Rebuilds every feature over the whole history at each step."""
     history, preds = frame.copy(), []
