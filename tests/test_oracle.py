@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 import check
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+CORPUS = r"op\d+_|pipeline$"
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if not re.match(CORPUS, name)}
 # Operators per group in the blueprint.
 GROUPS = {"a": 12, "b": 8, "c": 6, "d": 6, "e": 10, "f": 7, "g": 15, "h": 5, "i": 5, "j": 17, "l": 1}
 
@@ -26,7 +27,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_operator_is_registered():
-    have = {re.match(r"[a-l]\d+", name).group() for name in entry.queries()}
+    have = {re.match(r"[a-l]\d+", name).group() for name in entry.queries() if not re.match(CORPUS, name)}
     assert have == {f"{g}{i}" for g, n in GROUPS.items() for i in range(1, n + 1)}
 
 
