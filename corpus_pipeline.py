@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import simhash, suffixes
+from barlake.llm import bpe, decontaminate, simhash, suffixes, toxicity
 from barlake.llm.shared import Scratch, read_table
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity by compression distance: documents with a score of 0.3 or more go."""
+    return toxicity.accepted(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group stays."""
     return simhash.keep_one(docs)
@@ -18,9 +24,22 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return suffixes.remove_repeats(docs, figures=False)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: ids of every text, decoded again; digests per document."""
+    return bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS))
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("simhash_near_dedup", one_of_each_group),
     ("suffix_array_dedup", without_repeats),
+    ("benchmark_decontamination", without_benchmark),
+    ("byte_level_bpe", token_ids),
 ]
 
 # Compression lengths, SimHash components and suffix repeats have no SQL form; tests hold the rows against brute force.
