@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Scratch, read_table, with_row_key
+from barlake.llm.shared import Scratch, free_name, read_table, with_row_key
 
 # A document is hit where it holds this many consecutive words of an item (all words of a shorter item).
 SPAN = 13
@@ -39,43 +39,43 @@ def _positions(length: Column, width: int) -> Column:
 
 
 def _gram_hash(words: str, at: Column, width: int, kind: int) -> Column:
-    return F.xxhash64(F.slice(words, at, width), F.lit(kind))
+    # Single elements: a slice inside a lambda copies its whole array.
+    return F.xxhash64(*[F.get(words, at + (j - 1)) for j in range(width)], F.lit(kind))
+
+
+def _gram_hashes(words: str, width: int, kind: int) -> Column:
+    return F.transform(_positions(F.size(words), width), lambda i: _gram_hash(words, i, width, kind))
 
 
 def _least(hashes: str, at: Column) -> Column:
-    return F.array_min(F.slice(hashes, at, GROUP))
+    return F.least(*[F.get(hashes, at + (j - 1)) for j in range(GROUP)])
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """``(item_id, span, width, fp)``: every window of an item and the fingerprint it is found by."""
     words = items.select("item_id", words_of(F.col("text")).alias("words"))
     words = words.withColumn("n", F.size("words")).where("n > 0")
-    grams = words.where(F.col("n") >= SPAN).withColumn(
-        "hashes", F.transform(_positions(F.size("words"), GRAM), lambda i: _gram_hash("words", i, GRAM, SPAN))
-    )
+    grams = words.where(F.col("n") >= SPAN).withColumn("hashes", _gram_hashes("words", GRAM, SPAN))
     long = grams.select("item_id", "words", "hashes", F.explode(_positions(F.col("n"), SPAN)).alias("at")).select(
         "item_id",
         F.concat_ws(" ", F.slice("words", F.col("at"), SPAN)).alias("span"),
         F.lit(SPAN).alias("width"),
         _least("hashes", F.col("at")).alias("fp"),
     )
-    short = words.where(F.col("n") < SPAN).select(
-        "item_id", F.concat_ws(" ", "words").alias("span"), F.col("n").alias("width"), F.xxhash64("words", "n").alias("fp")
-    )
+    short = words.where(F.col("n") < SPAN)
+    fp = F.lit(None).cast("bigint")
+    for width in range(1, SPAN):
+        fp = F.when(F.col("n") == width, _gram_hash("words", F.lit(1), width, width)).otherwise(fp)
+    short = short.select("item_id", F.concat_ws(" ", "words").alias("span"), F.col("n").alias("width"), fp.alias("fp"))
     return long.unionByName(short).distinct()
 
 
 def fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
     """``row_key, doc_id, n_words, fps``: winnowed grams, and all grams of the widths of short items."""
     words = docs.select("row_key", "doc_id", words_of(F.col("text")).alias("words"))
-    grams = words.withColumn(
-        "hashes", F.transform(_positions(F.size("words"), GRAM), lambda i: _gram_hash("words", i, GRAM, SPAN))
-    )
+    grams = words.withColumn("hashes", _gram_hashes("words", GRAM, SPAN))
     kept = [F.transform(_positions(F.size("hashes"), GROUP), lambda i: _least("hashes", i))]
-    kept += [
-        F.transform(_positions(F.size("words"), width), lambda i, w=width: _gram_hash("words", i, w, w))
-        for width in short
-    ]
+    kept += [_gram_hashes("words", width, width) for width in short]
     return grams.select(
         "row_key",
         "doc_id",
@@ -143,9 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns as they are."""
     bad = contamination(docs, items).where("contaminated").select("row_key")
-    name = "row_key"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "row_key")
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
     return keyed.join(bad.withColumnRenamed("row_key", name), name, "left_anti").select(*docs.columns)
 

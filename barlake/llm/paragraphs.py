@@ -267,6 +267,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), len(own), len(gone or []),
                  sorted(kept_in or []), kept.decode("utf-8", "ignore"))
             )
+        if not rows:
+            continue
         types = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.list_(pa.int64()), pa.string()]
         names = [f.split()[0] for f in _CUT.split(", ")]
         yield pa.RecordBatch.from_arrays(

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, read_table
+from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, read_table, text_blocks
 
 BUCKETS = 10_000
 # Rows of the labelled target sample the target model is fitted on; the raw model counts all documents.
@@ -20,8 +20,6 @@ TARGET_ROWS = 20_000
 SMOOTHING = 1.0
 SEED = 42
 MEMO = 500_000
-# Bytes of text taken into words at a time.
-BLOCK = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,19 +36,15 @@ class _Words(dict):
 
 def gram_counts(text: bytes | None, memo: _Words) -> np.ndarray:
     """Counts of hashed words and word pairs of a whole text."""
-    counts, last, text = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint64), (text or b"").translate(ASCII_LOWER)
-    at = 0
-    while at < len(text):
-        end = at + BLOCK
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        h = np.array([memo[w] for w in text[at:end].split()], dtype=np.uint64)
+    counts, last = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint64)
+    for block in text_blocks((text or b"").translate(ASCII_LOWER)):
+        h = np.array([memo[w] for w in block.split()], dtype=np.uint64)
         chain = np.concatenate([last, h])
         pairs = (chain[:-1] * _MIX) ^ (chain[1:] + (chain[:-1] >> np.uint64(17)))
         pairs ^= pairs >> np.uint64(31)
         every = np.concatenate([h, pairs]) % np.uint64(BUCKETS)
         counts += np.bincount(every.astype(np.int64), minlength=BUCKETS)
-        last, at = chain[-1:], end
+        last = chain[-1:]
     return counts
 
 

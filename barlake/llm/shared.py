@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from barlake.session import fresh_folder
 # A-Z to a-z on UTF-8 bytes; bytes of other characters are 0x80 and above and stay.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 # Parquet row groups of tables with large binary values: a reader decodes one group at a time.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -67,17 +70,22 @@ def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn("row_key", F.xxhash64(*[F.col(c) for c in columns]))
 
 
-def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that turn one batch into one batch."""
+def text_blocks(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end before white space; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + size) if at + size < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = f(batch)
-            if out is not None and out.num_rows:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()

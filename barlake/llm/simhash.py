@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm.components import components
-from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, read_table, with_row_key
+from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, free_name, read_table, text_blocks
 
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
-# Bytes of text split into words at a time.
-BLOCK = 1 << 20
 # Cells up to this size are compared by lag; larger ones by a search that drops what it has reached.
 LAG_CELL = 48
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _EVEN = 0x55555555
 
 
-def word_blocks(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text in lists of bounded size."""
-    at, n = 0, len(text)
-    while at < n:
-        cut = _SPACE.search(text, at + BLOCK) if at + BLOCK < n else None
-        end = cut.start() if cut else n
-        yield text[at:end].split()
-        at = end
-
-
 def _bit_counts(shingles: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=len(shingles))
@@ -48,8 +34,8 @@ def fingerprint(text: bytes | None) -> int:
     if not text:
         return 0
     counts, total, carry = np.zeros(64, np.int64), 0, []
-    for words in word_blocks(text.translate(ASCII_LOWER)):
-        words = carry + words
+    for block in text_blocks(text.translate(ASCII_LOWER)):
+        words = carry + block.split()
         if len(words) >= SHINGLE:
             joined = b" ".join(words)
             ends = np.cumsum([len(w) + 1 for w in words])
@@ -193,6 +179,7 @@ def linked(fps: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` without the text, with ``fp``, ``component_id`` and ``component_root`` (least fingerprint)."""
     scratch = Scratch(docs.sparkSession, "simhash")
+    docs = docs.drop("fp", "component_id", "component_root")
     marked = scratch.table(fingerprints(docs, text), "fingerprints")
     distinct = scratch.table(marked.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
     roots = components(linked(distinct.select("fp")), scratch)
@@ -210,21 +197,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component_id is the smallest id reachable over links of 3 or fewer differing bits, the row's own included. Null
     texts count as empty and, like all texts without words, have fingerprint 0, linked like any other. Rows with a
     null id take part in links, but null is never the smallest id (a component of null ids only has a null one).
-    Repeated rows keep their own output row. No rows give no rows. Other columns pass through under any name but
-    ``fp``, ``component_id`` and ``component_root``.
+    Repeated rows keep their own output row. No rows give no rows. Other columns pass through; columns
+    named ``fp``, ``component_id`` or ``component_root`` are replaced.
     """
     return _grouped(docs, doc_id, text).drop("component_root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group: the one with the smallest id (nulls last), of equal ids the smallest text hash."""
-    keyed = with_row_key(docs, "doc_id", "text")
-    groups = _grouped(keyed.select("doc_id", "row_key", "text"), "doc_id", "text")
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = _grouped(keyed.select("doc_id", F.col(key).alias("row_key"), "text"), "doc_id", "text")
     first = groups.groupBy("component_root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
     )
-    stays = keyed.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi")
-    return stays.dropDuplicates(["row_key"]).select(*docs.columns)
+    stays = keyed.join(first.select(F.col("first.row_key").alias(key)), key, "left_semi")
+    return stays.dropDuplicates([key]).select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

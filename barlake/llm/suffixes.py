@@ -362,10 +362,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Returns the columns of ``docs`` in their order, the text replaced by what is left (bytes of characters cut in
     half are dropped there), and with ``figures`` also ``kept_bytes`` (exact), ``n_bytes``, ``n_removed``,
-    ``n_spans`` and ``kept_sha256``; columns of these names must not be in ``docs`` then. Null texts are empty.
+    ``n_spans`` and ``kept_sha256``; columns of these names are replaced then. Null texts are empty.
     Documents with a null id come after all others. Rows with equal ids (also repeated rows) are never smaller than
     each other, so they do not cut each other. Texts under 50 bytes stay whole. Matches never cross documents. No rows give no rows.
     """
+    added = ["kept_bytes binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"]
+    if figures:
+        docs = docs.drop(*[a.split()[0] for a in added])
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     schema = "unit bigint, data binary, ids binary, ends binary, rest binary"
@@ -390,7 +393,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             )
             found = scratch.table(parts.groupBy("bucket").applyInArrow(_tied_suffixes, _ANSWER_SQL), f"ties-{low}")
             ties = found if ties is None else ties.unionByName(found)
-    added = ["kept_bytes binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"]
     shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + (added if figures else [])
     names = [f.name for f in docs.schema] + ([a.split()[0] for a in added] if figures else [])
     return _with_answers(marked.drop("candidates"), ties).mapInArrow(_cut(names, text), ", ".join(shape))

@@ -13,7 +13,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import read_table
+from barlake.llm.shared import read_table, text_blocks
 
 # Bounds of the training sample: rows of each class, and bytes of a text that may be in it.
 SAMPLE_ROWS = 4000
@@ -41,8 +41,12 @@ _SETTINGS = dict(
 
 def windows(text: str | bytes | None) -> list[bytes]:
     raw = text.encode() if isinstance(text, str) else text or b""
+    return _words(raw.translate(_FOLD))
+
+
+def _words(folded: bytes) -> list[bytes]:
     out = []
-    for word in raw.translate(_FOLD).split():
+    for word in folded.split():
         out += [word] if len(word) <= WINDOW_BYTES else [
             word[i : i + WINDOW_BYTES] for i in range(0, len(word), WINDOW_BYTES)
         ]
@@ -88,7 +92,9 @@ class Model:
         memo: dict[bytes, int] = {}
 
         def features(text) -> np.ndarray:
-            counts = Counter(windows(text))
+            counts: Counter = Counter()
+            for block in text_blocks((text or "").encode().translate(_FOLD)):
+                counts.update(_words(block))
             if len(memo) > MEMO:
                 memo.clear()
             gains = []
