@@ -13,7 +13,6 @@ CLOSURES = (
     "1994-04-27", "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02",
     "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09",
 )
-MAX_YEARS = 400
 
 
 def _nth(month: int, weekday: int, n: int) -> Column:
@@ -50,12 +49,20 @@ def _easter() -> Column:
     return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), days.cast("int"))
 
 
-def holidays(
-    spark: SparkSession, first_year: int = 1990, last_year: int = 2060, closures: Iterable[str] = CLOSURES
-) -> DataFrame:
-    """Full-day holidays (date, name); ten or so rows a year."""
-    if last_year - first_year > MAX_YEARS:
-        raise ValueError("holiday span too long")
+def holidays(spark: SparkSession, first_year: int, last_year: int, closures: Iterable[str] = CLOSURES) -> DataFrame:
+    """Full-day holidays (date, name) of a span of years; ten or so rows a year."""
+    return holidays_of(spark.range(first_year, last_year + 1, 1, 1).select(F.col("id").cast("int").alias("year")), closures)
+
+
+def holidays_around(days: DataFrame, date: str, closures: Iterable[str] = CLOSURES) -> DataFrame:
+    """The same for the years in which the dates lie and the years after them, whatever they are."""
+    year = F.year(date)
+    years = days.select(F.explode(F.array(year, year + 1)).alias("year")).where("year IS NOT NULL").distinct()
+    return holidays_of(years, closures)
+
+
+def holidays_of(years: DataFrame, closures: Iterable[str] = CLOSURES) -> DataFrame:
+    """Holidays of the given years (column ``year``)."""
     since = lambda year, date: F.when(F.col("year") >= year, date)
     rules = {
         "new_year": _observed(1, 1, saturday_moves=False),
@@ -69,20 +76,20 @@ def holidays(
         "thanksgiving": _nth(11, 3, 4),
         "christmas": _observed(12, 25),
     }
-    years = spark.range(first_year, last_year + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
     named = F.array(*[F.struct(rule.alias("date"), F.lit(name).alias("name")) for name, rule in rules.items()])
     ruled = years.select(F.inline(named)).filter("date IS NOT NULL")
     extra = list(closures)
     if not extra:
         return ruled
     dates = F.array(*[F.lit(d).cast("date") for d in extra])
-    return ruled.union(spark.range(0, 1, 1, 1).select(F.explode(dates).alias("date"), F.lit("closure").alias("name")))
+    one = years.sparkSession.range(0, 1, 1, 1)
+    return ruled.union(one.select(F.explode(dates).alias("date"), F.lit("closure").alias("name")))
 
 
 def without_holidays(days: DataFrame, closed: DataFrame) -> DataFrame:
     """Candidate days that are not holidays.
 
-    The holiday side is at most ``MAX_YEARS`` x 11 rows plus the closures, so it is broadcast.
+    The holiday side has 10 rows a calendar year plus the closures, so it is broadcast.
     """
     return days.join(F.broadcast(closed.select("date")), "date", "left_anti")
 
@@ -93,7 +100,7 @@ def with_sessions(
     """Adds ``dates``, the next ``horizon`` sessions after ``last_date``, without a shuffle.
 
     Looks ``search_days`` ahead; a longer horizon is cut to the sessions found there. The holidays
-    (at most ``MAX_YEARS`` x 11 dates plus the closures) come in as one array.
+    (10 dates a calendar year plus the closures) come in as one array.
     """
     holiday_list = closed.agg(F.collect_list("date")).scalar()
     ahead = F.sequence(F.date_add("last_date", 1), F.date_add("last_date", search_days))

@@ -19,7 +19,6 @@ COMPARE_MAX = 4
 WEIGHT_MIN, WEIGHT_MAX = 0.0, 2.0
 RISK_PER_MAE = 12.0
 PENALTY_PER_MAE = 10.0
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -82,13 +81,10 @@ def comparison_items(watchlists: DataFrame) -> DataFrame:
 def lookup_latest(items: DataFrame, latest: DataFrame) -> DataFrame:
     """Left join to the one latest row per symbol; ``has_row`` tells a missing row from missing values.
 
-    Every list may hold the same few symbols, so the join is salted by owner: a popular symbol's
-    items spread over ``SALTS`` tasks, at the price of that many copies of the short latest rows.
+    Every list may hold the same few symbols. The left side of a left join may be split, so adaptive execution deals a
+    popular symbol's items out over as many tasks as their size asks for, or broadcasts the short latest rows.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    copies = latest.select("*", F.lit(True).alias("has_row"), salts)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(copies, ["symbol", "salt"], "left").drop("salt")
+    joined = items.join(latest.select("*", F.lit(True).alias("has_row")), "symbol", "left")
     return joined.withColumn("has_row", F.coalesce("has_row", F.lit(False)))
 
 

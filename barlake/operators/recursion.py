@@ -80,6 +80,11 @@ def _appended(hist: Column, pred: Column) -> Column:
     return F.slice(F.concat(hist, F.array(pred)), 2, DEPTH)
 
 
+def _floored(pred: Column) -> Column:
+    """A price is at least the floor; a missing prediction stays missing. The prediction is worked out once."""
+    return F.get(F.transform(F.array(pred), lambda p: F.when(p.isNotNull(), F.greatest(p, F.lit(PRICE_FLOOR)))), F.lit(0))
+
+
 def _carried(df: DataFrame) -> list[str]:
     return [c for c in CARRIED if c in df.columns]
 
@@ -92,7 +97,7 @@ def linear_paths(states: DataFrame, final_fits: DataFrame) -> DataFrame:
 
     def step(acc: Column, i: Column) -> Column:
         values = latest_features(acc["hist"], F.get(F.col("feature_dates"), i - 1), F.col("volume"))
-        pred = F.greatest(linear_value(F.col("intercept"), F.col("coef"), values), F.lit(PRICE_FLOOR))
+        pred = _floored(linear_value(F.col("intercept"), F.col("coef"), values))
         grown = F.concat(acc["preds"], F.array(pred))
         return F.struct(
             _appended(acc["hist"], F.element_at(grown, -1)).alias("hist"), grown.alias("preds")
@@ -127,7 +132,7 @@ def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> Da
         wide = rows.select(
             *kept, *carried, F.col("hist")[DEPTH - 1].alias("adj_close"), *[v.alias(n) for v, n in zip(values, FEATURES)]
         )
-        pred = F.greatest(F.col("pred"), F.lit(PRICE_FLOOR))
+        pred = F.when(F.col("pred").isNotNull(), F.greatest("pred", F.lit(PRICE_FLOOR)))
         stepped = predict_rows(model, wide, relative).withColumn("pred", pred)
         rows = stepped.select(
             *kept[:4],

@@ -134,7 +134,7 @@ def g8_refit_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 def g9_band(spark: SparkSession, sf: str) -> DataFrame:
     done = _check(spark, sf)
-    bounds = selection.band(F.col("y"), F.col("q_low"), F.col("q_high"))
+    bounds = selection.band(F.col("pred"), F.col("q_low"), F.col("q_high"))
     rows = done.oof.join(done.chosen.select("symbol", "model", "q_low", "q_high"), ["symbol", "model"])
     return report(rows.select("symbol", "date", *[c.alias(n) for n, c in bounds.items()]), 4)
 
@@ -148,7 +148,7 @@ def g10_recursive_path(spark: SparkSession, sf: str) -> DataFrame:
 def g10_recursive_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
     daily = medallion.daily_from_raw(given.raw_supplier_prices(spark, sf))
     fits = linear.elastic_net_fits(forecasting.segmented_rows(daily)).filter(F.col("fit") == splits.FINAL_FIT)
-    states = recursion.start_states(daily, calendar.holidays(spark))
+    states = recursion.start_states(daily, calendar.holidays_around(calendar.last_bars(daily), "last_date"))
     return report(recursion.path_rows(recursion.linear_paths(states, fits)), 4)
 
 
@@ -160,7 +160,8 @@ def g10_recursive_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def g11_sessions(spark: SparkSession, sf: str) -> DataFrame:
     daily = medallion.daily_from_raw(given.raw_supplier_prices(spark, sf))
-    return report(calendar.sessions_after(calendar.last_bars(daily), calendar.holidays(spark)))
+    last = calendar.last_bars(daily)
+    return report(calendar.sessions_after(last, calendar.holidays_around(last, "last_date")))
 
 
 def g12_forecast_rows(spark: SparkSession, sf: str) -> DataFrame:

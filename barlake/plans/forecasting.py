@@ -62,7 +62,7 @@ class CheckRun:
 
     @cached_property
     def states(self) -> DataFrame:
-        closed = calendar.holidays(self.daily.sparkSession)
+        closed = calendar.holidays_around(calendar.last_bars(self.daily), "last_date")
         return recursion.start_states(self.daily, closed, self.horizon)
 
     @cached_property

@@ -121,16 +121,12 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = (), since: str | None = None) -> DataFrame:
-    """Events by symbol; the filters stay on the stored columns, so they reach the scan."""
-    events = table(spark, sf_dir, "events")
-    if kinds:
-        events = events.filter(F.col("event_type").isin(*kinds))
-    if since:
-        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    return events.select(
+def _events(spark: SparkSession, sf_dir: str, apart: str = "U") -> DataFrame:
+    """All events by symbol; ``apart`` leads the symbols of every 41st user, so that they miss in other tables."""
+    lead = F.when(F.col("user_id") % 41 == 0, F.lit(apart)).otherwise(F.lit("U"))
+    return table(spark, sf_dir, "events").select(
         F.col("event_id"),
-        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
+        F.concat(lead, F.col("user_id").cast("string")).alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_type",
         "value",
@@ -154,10 +150,10 @@ def served_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def served_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one kind as exposed next-day rows (many versions per symbol)."""
+    """Every event as an exposed next-day row (many versions per symbol)."""
     key = F.col("event_id")
     value = F.col("value")
-    return _events(spark, sf_dir, ("purchase",), "2024-01-25").select(
+    return _events(spark, sf_dir, "L").select(
         "symbol",
         F.to_date("ts").alias("next_trading_day"),
         F.when(key % 19 != 0, value).alias("predicted_close"),
@@ -170,9 +166,9 @@ def served_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def served_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of two kinds as published metrics rows."""
+    """Every event as a published metrics row."""
     key = F.col("event_id")
-    return _events(spark, sf_dir, ("error", "signup"), "2024-01-22").select(
+    return _events(spark, sf_dir, "M").select(
         "symbol",
         F.when(key % 29 != 0, F.col("event_type")).alias("selected_model"),
         F.when(key % 31 != 0, (key % 11) * 0.15).alias("best_cv_mae"),

@@ -108,6 +108,16 @@ def a8_reject_append(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark.table(table).select("symbol", "date", "ingestion_ts", "ingestion_run_id", "quality_issue"))
 
 
+def a8_reject_append_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The rejects of a log that comes in several loads: the same as in one."""
+    table = f"{_namespace(spark)}.rejects"
+    rows = quality.rejected_rows(medallion.labelled(given.raw_prices(spark, sf)))
+    first = F.col("ingestion_run_id") == "run-0"
+    for part in (rows.where(first), rows.where(~first), rows):
+        tables.append_rejects(part, table)
+    return report(spark.table(table).groupBy("quality_issue").agg(F.count("*").alias("reject_rows")))
+
+
 def a9_snapshot_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """A snapshot replaced by one with another layout."""
     table = f"{_namespace(spark)}.snapshot"
@@ -272,7 +282,7 @@ def d3_upsert_table(spark: SparkSession, sf: str) -> DataFrame:
 def d6_without_holidays(spark: SparkSession, sf: str) -> DataFrame:
     """Bars that lie on exchange days."""
     days = medallion.daily_from_raw(given.raw_prices(spark, sf)).select("symbol", "date")
-    return report(calendar.without_holidays(days, calendar.holidays(spark)).groupBy("symbol", "date").count().drop("count"))
+    return report(calendar.without_holidays(days, calendar.holidays_around(days, "date")).groupBy("symbol", "date").count().drop("count"))
 
 
 # --- features ------------------------------------------------------------------------------------

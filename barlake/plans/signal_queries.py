@@ -243,11 +243,23 @@ def j17_freshness_minutes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l1_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as a folder of raw files, streamed file by file into the clean table."""
+    """The log as a folder of raw files of each run, streamed file by file: versions of a key come in several batches."""
     raw = given.raw_prices(spark, sf)
     folder = fresh_folder(spark, "raw")
-    raw.repartitionByRange(4, "ingestion_date").write.parquet(folder)
+    raw.hint("rebalance", "ingestion_run_id").write.partitionBy("ingestion_run_id").parquet(folder)
     names = _namespace(spark)
     clean, rejects = f"{names}.clean_prices", f"{names}.rejects"
     upsert_stream(spark, folder, raw.schema, clean, rejects, fresh_folder(spark, "stream"), 1).awaitTermination()
     return report(spark.table(clean).select(schemas.CLEAN.names))
+
+
+def l1_stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The rejects the same stream has stored, counted by day and issue."""
+    raw = given.raw_prices(spark, sf)
+    folder = fresh_folder(spark, "raw")
+    raw.hint("rebalance", "ingestion_run_id").write.partitionBy("ingestion_run_id").parquet(folder)
+    names = _namespace(spark)
+    clean, rejects = f"{names}.clean_prices", f"{names}.rejects"
+    upsert_stream(spark, folder, raw.schema, clean, rejects, fresh_folder(spark, "stream"), 1, buckets=8).awaitTermination()
+    counted = spark.table(rejects).groupBy("ingestion_date", "quality_issue").agg(F.count("*").alias("reject_rows"))
+    return report(counted)

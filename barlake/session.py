@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,6 +15,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # The elastic-net sums have some 240 columns; beyond this limit they run without codegen.
         .config("spark.sql.codegen.maxFields", "400")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -30,16 +30,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def work_root(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Without that setting it lies in the warehouse, which all executors share as well.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="barlake-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

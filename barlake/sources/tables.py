@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barlake import schemas
 
 BUCKET = "symbol_bucket"
-REJECT_KEY = ("symbol", "date", "ingestion_ts", "ingestion_run_id", "quality_issue")
 
 
 def create_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -56,12 +55,13 @@ def overwrite_snapshot(df: DataFrame, table: str) -> None:
     df.write.mode("overwrite").option("overwriteSchema", "true").format("parquet").saveAsTable(table)
 
 
-def unseen_rejects(rejects: DataFrame, known: DataFrame, key: Sequence[str] = REJECT_KEY) -> DataFrame:
-    """Rejects whose key is not stored yet; null key parts match nulls.
+def unseen_rejects(rejects: DataFrame, known: DataFrame, key: Sequence[str] = schemas.REJECTS.names) -> DataFrame:
+    """Different rejects that are not stored yet; rows are the same if all columns agree (nulls match nulls).
 
-    The stored side is reduced to distinct keys before the shuffle, so a key with many copies costs
-    one row there.
+    So the stored rejects do not depend on how the log is cut into loads. The stored side is reduced to distinct rows
+    before the shuffle, so a row with many copies costs one there.
     """
+    rejects = rejects.dropDuplicates(list(key))
     stored = known.select([F.col(c).alias(f"known_{c}") for c in key]).distinct()
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in key])
     return rejects.join(stored, same, "left_anti")

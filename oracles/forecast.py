@@ -85,8 +85,8 @@ CROSS JOIN (VALUES ('elastic_net', 1), ('random_forest', 2), ('gradient_boosting
         f"SELECT symbol, model, n AS train_rows, {rd('b', 6)} AS slope, {rd('a', 4)} AS intercept FROM coefs"
         " SEMI JOIN chosen USING (symbol, model) WHERE fit = 6", "coefs", "chosen"),
     "g9_band": with_parts(
-        f"SELECT o.symbol, {day('o.date')} AS date, {rd('least(o.y + c.q_low, o.y + c.q_high)', 4)} AS pred_low_80,"
-        f" {rd('greatest(o.y + c.q_low, o.y + c.q_high)', 4)} AS pred_high_80"
+        f"SELECT o.symbol, {day('o.date')} AS date, {rd('least(o.pred + c.q_low, o.pred + c.q_high)', 4)} AS pred_low_80,"
+        f" {rd('greatest(o.pred + c.q_low, o.pred + c.q_high)', 4)} AS pred_high_80"
         " FROM oof o JOIN chosen c ON c.symbol = o.symbol AND c.model = o.model", "oof", "chosen"),
     "g10_recursive_path": with_parts(
         f"SELECT symbol, model_name, horizon_day, {rd('pred_close', 4)} AS pred_close FROM forecast", "forecast"),

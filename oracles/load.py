@@ -75,6 +75,9 @@ SQL: dict[str, str] = {
     "a8_reject_append": with_parts(
         f"SELECT symbol, {day('date')} AS date, {ts('ingestion_ts')} AS ingestion_ts, ingestion_run_id, quality_issue"
         " FROM labelled WHERE NOT is_valid", "labelled"),
+    "a8_reject_append_parts": with_parts(
+        "SELECT quality_issue, count(*) AS reject_rows FROM (SELECT DISTINCT * FROM labelled WHERE NOT is_valid)"
+        " GROUP BY quality_issue", "labelled"),
     "a9_snapshot_overwrite": with_parts(f"SELECT {DAILY} FROM daily", "daily"),
     "a10_named_view": with_parts(
         f"SELECT symbol, year(date)::INTEGER AS year, count(*) AS bar_count, {rd('max(high)', 6)} AS top_high"

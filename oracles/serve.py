@@ -26,18 +26,18 @@ SELECT 'U' || user_id::VARCHAR AS symbol, ts AS forecast_date, (hour(ts) + 1)::B
   event_type AS model_name, (event_id % 11) * 0.15::DOUBLE AS cv_mae, date_trunc('day', ts) AS forecast_ts
 FROM events"""
 _LATEST = """
-SELECT 'U' || user_id::VARCHAR AS symbol, ts::DATE AS next_trading_day,
+SELECT CASE WHEN user_id % 41 = 0 THEN 'L' ELSE 'U' END || user_id::VARCHAR AS symbol, ts::DATE AS next_trading_day,
   CASE WHEN event_id % 19 <> 0 THEN value END AS predicted_close,
   CASE WHEN event_id % 23 <> 0 THEN value - value * (event_id % 5) * 0.004::DOUBLE END AS predicted_low_80,
   CASE WHEN event_id % 23 <> 0 THEN value + value * (event_id % 7) * 0.002::DOUBLE END AS predicted_high_80,
   event_type AS model_name, CASE WHEN event_id % 13 <> 0 THEN (event_id % 11) * 0.15::DOUBLE END AS cv_mae, ts AS exposed_ts
-FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-25'"""
+FROM events"""
 _METRICS = """
-SELECT 'U' || user_id::VARCHAR AS symbol, CASE WHEN event_id % 29 <> 0 THEN event_type END AS selected_model,
+SELECT CASE WHEN user_id % 41 = 0 THEN 'M' ELSE 'U' END || user_id::VARCHAR AS symbol, CASE WHEN event_id % 29 <> 0 THEN event_type END AS selected_model,
   CASE WHEN event_id % 31 <> 0 THEN (event_id % 11) * 0.15::DOUBLE END AS best_cv_mae,
   (event_id % 13) * 0.6::DOUBLE AS pred_std, event_id % 1000 AS train_rows,
   'run-' || (event_id + 1000000000)::VARCHAR AS pipeline_run_id, ts AS loaded_ts
-FROM events WHERE event_type IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-22'"""
+FROM events"""
 _ORDER = "forecast_ts DESC, horizon_day, forecast_date"
 
 _WATCH = """
@@ -288,4 +288,7 @@ LEFT JOIN (SELECT symbol, series, arg_max(value, position) AS latest, min(value)
         + _fresh("forecast_date", "(date_trunc('hour', forecast_date) + INTERVAL 61 MINUTES)")
         + " AS freshness FROM history) GROUP BY ALL", "history"),
     "l1_upsert_stream": with_parts(f"SELECT {CLEAN} FROM clean", "clean"),
+    "l1_stream_rejects": with_parts(
+        f"SELECT {day('ingestion_date')} AS ingestion_date, quality_issue, count(*) AS reject_rows"
+        " FROM (SELECT DISTINCT * FROM labelled WHERE NOT is_valid) r GROUP BY r.ingestion_date, quality_issue", "labelled"),
 }

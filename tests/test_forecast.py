@@ -170,7 +170,7 @@ def test_linear_recursion_equals_rebuilding_features(spark):
     frame = price_frame("A", 320, 3)
     coef = np.random.default_rng(5).normal(0, 0.05, len(features.FEATURES))
     coef[0] = 0.9
-    states = recursion.start_states(daily(spark, frame), calendar.holidays(spark), 12)
+    states = recursion.start_states(daily(spark, frame), calendar.holidays(spark, 1990, 2060), 12)
     fits = spark.createDataFrame([("A", "m", 1.5, coef.tolist())], "symbol string, model string, intercept double, coef array<double>")
     path = recursion.linear_paths(states, fits).first()
     expected = walk_by_pandas(frame, path.dates, lambda x, _: x.to_numpy()[0] @ coef + 1.5)
@@ -178,7 +178,7 @@ def test_linear_recursion_equals_rebuilding_features(spark):
 
 
 def test_price_floor(spark):
-    states = recursion.start_states(daily(spark, price_frame("A", 320)), calendar.holidays(spark), 3)
+    states = recursion.start_states(daily(spark, price_frame("A", 320)), calendar.holidays(spark, 1990, 2060), 3)
     fits = spark.createDataFrame([("A", "m", -5.0, [0.0] * 19)], "symbol string, model string, intercept double, coef array<double>")
     assert recursion.linear_paths(states, fits).first().preds == [0.01] * 3
 
@@ -189,7 +189,7 @@ def test_tree_recursion_equals_rebuilding_features(spark, relative):
     bars = daily(spark, frame)
     segmented = forecasting.segmented_rows(bars)
     model = trees.final_fit(trees.training_frame(segmented, relative), trees.random_forest(3, 4))
-    path = recursion.tree_paths(recursion.start_states(bars, calendar.holidays(spark), 3), model, "random_forest", relative).first()
+    path = recursion.tree_paths(recursion.start_states(bars, calendar.holidays(spark, 1990, 2060), 3), model, "random_forest", relative).first()
 
     def predict(x, history):
         row = spark.createDataFrame(x.assign(adj_close=history["adj_close"].iloc[-1]))
@@ -269,13 +269,13 @@ def test_sessions(spark):
     last = spark.createDataFrame(
         [("FRI", dt.date(2024, 3, 28)), ("XMAS", dt.date(2024, 12, 24)), ("PLAIN", dt.date(2024, 6, 3))], "symbol string, last_date date"
     )
-    got = calendar.sessions_after(last, calendar.holidays(spark), 2).collect()
+    got = calendar.sessions_after(last, calendar.holidays(spark, 1990, 2060), 2).collect()
     assert {(r.symbol, r.step): r.date for r in got} == {
         ("FRI", 1): dt.date(2024, 4, 1), ("FRI", 2): dt.date(2024, 4, 2),
         ("XMAS", 1): dt.date(2024, 12, 26), ("XMAS", 2): dt.date(2024, 12, 27),
         ("PLAIN", 1): dt.date(2024, 6, 4), ("PLAIN", 2): dt.date(2024, 6, 5),
     }
-    cut = calendar.sessions_after(last.filter("symbol = 'PLAIN'"), calendar.holidays(spark), 30, search_days=10).count()
+    cut = calendar.sessions_after(last.filter("symbol = 'PLAIN'"), calendar.holidays(spark, 1990, 2060), 30, search_days=10).count()
     assert cut == 8
 
 

@@ -107,6 +107,13 @@ def test_upsert_table_is_idempotent_and_leaves_others(spark, namespace, buckets)
         assert before <= set(spark.table(table).inputFiles())
 
 
+def test_empty_symbol_keeps_its_history(spark, namespace):
+    table = f"{namespace}.clean_prices"
+    for day in (2, 3):
+        upsert.upsert_table(clean(spark, clean_row("", day)), table)
+    assert spark.table(table).count() == 2
+
+
 def test_upsert_by_semi_join_beyond_the_listed_folders(spark, namespace, monkeypatch):
     monkeypatch.setattr(upsert, "MAX_LISTED_FOLDERS", 1)
     table = f"{namespace}.clean"

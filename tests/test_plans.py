@@ -125,3 +125,8 @@ def test_a_hot_symbol_is_written_by_several_tasks(spark, namespace):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
     stored = spark.table(f"{namespace}.raw")
     assert stored.count() == 200000 and len(stored.inputFiles()) >= 4
+
+
+def test_served_tables_hold_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert given.served_latest(spark, SF).count() == given.served_metrics(spark, SF).count() == events
