@@ -10,9 +10,9 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import tiktoken
+import tiktoken.registry
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tiktoken.registry import ENCODINGS
 
 from barlake.llm.shared import read_table
 
@@ -26,12 +26,12 @@ _SAFE = re.compile(r"\S(?=[ \t\r\n])")
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     """One encoder per worker, kept in the library's own table; the rank file is read where the task runs."""
-    name = f"{path}\0{pattern}"
-    if name not in ENCODINGS:
+    name, known = f"{path}\0{pattern}", tiktoken.registry.ENCODINGS
+    if name not in known:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return ENCODINGS[name]
+        known[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return known[name]
 
 
 def pieces(text: str) -> Iterator[str]:
