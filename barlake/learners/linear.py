@@ -47,8 +47,9 @@ def single_feature_fits(segmented: DataFrame, candidates: dict[str, str]) -> Dat
     fit = F.explode(F.sequence(F.col("segment") + 1, F.lit(FINAL_FIT))).alias("fit")
     solved = segmented.select("symbol", "target", *used, fit).groupBy("symbol", "fit").agg(
         F.count(F.lit(1)).alias("train_rows"),
-        *[F.regr_intercept("target", x).alias(f"a_{x}") for x in used],
-        *[F.regr_slope("target", x).alias(f"b_{x}") for x in used],
+        # A constant feature has no slope: the mean of the target is the fit.
+        *[F.coalesce(F.regr_intercept("target", x), F.avg("target")).alias(f"a_{x}") for x in used],
+        *[F.coalesce(F.regr_slope("target", x), F.lit(0.0)).alias(f"b_{x}") for x in used],
     )
     models = [
         F.struct(

@@ -103,11 +103,16 @@ def _assembled(rows: DataFrame, relative: bool) -> DataFrame:
 
 
 def training_frame(segmented: DataFrame, relative: bool) -> DataFrame:
-    """Vectors and labels, cut from their lineage: every fit below scans them again."""
+    """Vectors and labels, cut from their lineage: every fit below scans them again.
+
+    Fits are bound by computing, not by bytes, so the rows are dealt over all cores; a fixed order keeps fits repeatable.
+    """
     rows = _assembled(segmented, relative).select(
         "symbol", "date", "segment", "target", "scale", "features", (F.col("target") / F.col("scale")).alias("label")
     )
-    return rows.checkpoint()
+    spark = segmented.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "symbol", "date").sortWithinPartitions("symbol", "date").checkpoint()
 
 
 def _predicted(model: Model, rows: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ def latest_version(valid: DataFrame, keys: Sequence[str] = ("symbol", "date")) -
     return _first(valid, keys, [c for c in VERSION_ORDER if c in valid.columns])
 
 
-def last_per_date(daily: DataFrame, tiebreak: Sequence[str] = ("volume", "close", "adj_close")) -> DataFrame:
-    """Keeps the last row per symbol and date in ``tiebreak`` order."""
-    return _first(daily, ["symbol", "date"], tiebreak)
+def last_per_date(
+    daily: DataFrame, order: Sequence[str] = ("ingestion_ts", "volume", "close", "adj_close")
+) -> DataFrame:
+    """Keeps the row loaded last per symbol and date; without load times, and among equal ones, the largest values."""
+    return _first(daily, ["symbol", "date"], [c for c in order if c in daily.columns])

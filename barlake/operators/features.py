@@ -112,12 +112,16 @@ def scoring_rows(matrix: DataFrame) -> DataFrame:
     return complete.withColumn("rn", F.row_number().over(window)).filter("rn = 1").drop("rn")
 
 
-def history_check(matrix: DataFrame, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
-    """Per symbol: complete training rows and, when too few, the reason to leave it out."""
+def is_training_row() -> Column:
     complete = F.col("target").isNotNull()
     for name in WITNESSES:
         complete = complete & F.col(name).isNotNull()
-    counted = matrix.groupBy("symbol").agg(F.count_if(complete).alias("train_rows"))
+    return complete
+
+
+def history_check(matrix: DataFrame, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
+    """Per symbol: complete training rows and, when too few, the reason to leave it out."""
+    counted = matrix.groupBy("symbol").agg(F.count_if(is_training_row()).alias("train_rows"))
     return counted.withColumn(
         "reason", F.when(F.col("train_rows") < min_rows, F.lit("insufficient_history"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barlake.operators.features import FEATURES
 from barlake.operators.recursion import path_rows, path_spread
@@ -49,6 +49,13 @@ def flat_check(forecast: DataFrame, min_std: float = MIN_STD) -> DataFrame:
     return dispersion(forecast).withColumn("is_flat", flat)
 
 
+def path_reason(min_std: float = MIN_STD) -> Column:
+    """Why a path is not published, or NULL."""
+    return F.when(F.exists("preds", lambda p: p.isNull()), F.lit("missing_prediction")).when(
+        path_spread(F.col("preds")) < min_std, F.lit("flat_forecast")
+    )
+
+
 def require_moving(forecast: DataFrame, min_std: float = MIN_STD) -> DataFrame:
     flat = [r.symbol for r in flat_check(forecast, min_std).filter("is_flat").orderBy("symbol").limit(10).collect()]
     if flat:

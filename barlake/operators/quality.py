@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Columns that must be filled, in label order.
 REQUIRED = ("symbol", "date", "open", "high", "low", "close", "volume")
@@ -66,6 +68,24 @@ def series_violations(daily: DataFrame) -> DataFrame:
     return checked.withColumn("is_usable", bad == 0)
 
 
+def series_reasons() -> list[tuple[str, Column]]:
+    """Why a series is left out, first reason first, as a condition on one of its rows."""
+    missing = [F.col(c).isNull() for c in ("date", "close", "adj_close", "volume")]
+    return [
+        ("null_values", reduce(lambda a, b: a | b, missing)),
+        ("close_not_positive", F.col("close") <= 0),
+        ("volume_negative", F.col("volume") < 0),
+    ]
+
+
+def usable_rows(daily: DataFrame) -> DataFrame:
+    """Rows of the usable symbols. The window has the order of the feature windows, so it shares their shuffle."""
+    series = Window.partitionBy("symbol").orderBy("date")
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bad = reduce(lambda a, b: a | b, [F.coalesce(condition, F.lit(False)) for _, condition in series_reasons()])
+    return daily.withColumn("bad_rows", F.count_if(bad).over(whole)).filter("bad_rows = 0").drop("bad_rows")
+
+
 def require_usable(daily: DataFrame) -> DataFrame:
     """Strict form: raises on an empty frame or the first unusable symbols."""
     checked = series_violations(daily)

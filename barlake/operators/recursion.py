@@ -1,8 +1,8 @@
 """Recursive multi-step forecasts from one small state row per symbol.
 
-State: symbol, hist (the last 51 adjusted closes, oldest first), volume, last_date and dates (the
-coming sessions). Each step predicts from the latest bar, floors the result and appends it as the
-next bar, so a step costs the same however long the history is.
+State: symbol, hist (the last 51 adjusted closes, oldest first), volume, last_date, dates (the
+coming sessions) and known (features and price of the newest complete bar). Each step predicts from the newest
+complete bar, floors the result and appends it as the next bar, so a step costs the same however long the history is.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barlake.learners.linear import linear_value
 from barlake.learners.trees import predict_rows
 from barlake.operators.calendar import HORIZON, with_sessions
-from barlake.operators.features import FEATURES, LAGS, RETURNS, WIDTHS, with_adjusted
+from barlake.operators.features import FEATURES, LAGS, RETURNS, WIDTHS, WITNESSES, feature_matrix
 from barlake.session import work_root
 
 # Fixed values.
@@ -28,16 +28,22 @@ CARRIED = ("cv_mae", "q_low", "q_high", "train_rows")
 
 
 def start_states(daily: DataFrame, closed: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """State rows from daily bars; only the last 51 bars per symbol leave the map tasks."""
+    """State rows of the symbols with a complete bar, from daily bars.
+
+    The windows have the order of the feature matrix, so they share the shuffle that the training rows need.
+    """
     newest = Window.partitionBy("symbol").orderBy(F.col("date").desc())
-    tail = with_adjusted(daily).withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= DEPTH)
-    bars = F.array_sort(F.collect_list(F.struct("date", "adj_close", "volume")))
-    gathered = tail.groupBy("symbol").agg(bars.alias("bars")).filter(F.size("bars") == DEPTH)
+    matrix = feature_matrix(daily).withColumn("rn", F.row_number().over(newest))
+    complete = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in WITNESSES])
+    bars = F.array_sort(F.collect_list(F.when(F.col("rn") <= DEPTH, F.struct("date", "adj_close", "volume"))))
+    known = F.min_by(F.array(*FEATURES, "adj_close"), F.when(complete, F.col("rn")))
+    gathered = matrix.groupBy("symbol").agg(bars.alias("bars"), known.alias("known")).filter(F.col("known").isNotNull())
     states = gathered.select(
         "symbol",
         F.col("bars.adj_close").alias("hist"),
         F.element_at("bars", -1)["volume"].cast("double").alias("volume"),
         F.element_at("bars", -1)["date"].alias("last_date"),
+        "known",
     )
     return with_sessions(states, closed, horizon)
 
@@ -63,6 +69,15 @@ def latest_features(hist: Column, date: Column, volume: Column) -> list[Column]:
     return [made[name] for name in FEATURES]
 
 
+def _newest_complete(hist: Column, date: Column, volume: Column, known: Column) -> Column:
+    """Features and price of the newest bar if all are there, else of the newest bar that had them."""
+    now = F.array(*latest_features(hist, date, volume), hist[DEPTH - 1])
+    # The one-element array lets the features be worked out once.
+    return F.transform(
+        F.array(now), lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(known)
+    )[0]
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -96,14 +111,23 @@ def linear_paths(states: DataFrame, final_fits: DataFrame) -> DataFrame:
     no_preds = F.array().cast("array<double>")
 
     def step(acc: Column, i: Column) -> Column:
-        values = latest_features(acc["hist"], F.get(F.col("feature_dates"), i - 1), F.col("volume"))
-        pred = _floored(linear_value(F.col("intercept"), F.col("coef"), values))
-        grown = F.concat(acc["preds"], F.array(pred))
-        return F.struct(
-            _appended(acc["hist"], F.element_at(grown, -1)).alias("hist"), grown.alias("preds")
-        )
-
-    start = F.struct(F.col("hist").alias("hist"), no_preds.alias("preds"))
+        date = F.get(F.col("feature_dates"), i - 1)
+        known = _newest_complete(acc["hist"], date, F.col("volume"), acc["known"])
+
+        def grown(values: Column) -> Column:
+            pred = _floored(linear_value(F.col("intercept"), F.col("coef"), [values[j] for j in range(len(FEATURES))]))
+            return F.transform(
+                F.array(pred),
+                lambda p: F.struct(
+                    _appended(acc["hist"], p).alias("hist"),
+                    F.concat(acc["preds"], F.array(p)).alias("preds"),
+                    values.alias("known"),
+                ),
+            )[0]
+
+        return F.transform(F.array(known), grown)[0]
+
+    start = F.struct(F.col("hist").alias("hist"), no_preds.alias("preds"), F.col("known").alias("known"))
     steps = F.sequence(F.lit(1), F.size("dates"))
     return (
         ready.filter(F.size("dates") > 0)
@@ -123,20 +147,22 @@ def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> Da
     work_root(spark)
     # The longest session list decides how many steps are planned; it is at most the horizon asked for.
     steps = states.agg(F.max(F.size("dates"))).first()[0] or 0
-    kept = ("symbol", "volume", "last_date", "dates", "hist", "preds")
+    kept = ("symbol", "volume", "last_date", "dates", "hist", "known", "preds")
     carried = _carried(states)
     rows = states.withColumn("preds", F.array().cast("array<double>")).select(*kept, *carried)
     for i in range(steps):
         date = F.col("last_date") if i == 0 else F.get("dates", F.lit(i - 1))
-        values = latest_features(F.col("hist"), F.coalesce(date, F.col("last_date")), F.col("volume"))
-        wide = rows.select(
-            *kept, *carried, F.col("hist")[DEPTH - 1].alias("adj_close"), *[v.alias(n) for v, n in zip(values, FEATURES)]
+        known = _newest_complete(F.col("hist"), F.coalesce(date, F.col("last_date")), F.col("volume"), F.col("known"))
+        wide = rows.withColumn("known", known).select(
+            *kept, *carried, F.col("known")[len(FEATURES)].alias("adj_close"),
+            *[F.col("known")[j].alias(name) for j, name in enumerate(FEATURES)],
         )
         pred = F.when(F.col("pred").isNotNull(), F.greatest("pred", F.lit(PRICE_FLOOR)))
         stepped = predict_rows(model, wide, relative).withColumn("pred", pred)
         rows = stepped.select(
             *kept[:4],
             _appended(F.col("hist"), F.col("pred")).alias("hist"),
+            "known",
             F.when(F.size("dates") > i, F.concat("preds", F.array("pred"))).otherwise(F.col("preds")).alias("preds"),
             *carried,
         )

@@ -42,7 +42,7 @@ def residual_bounds(oof: DataFrame) -> DataFrame:
         F.percentile("residual", list(BAND_QUANTILES)).alias("q"),
     )
     total = F.aggregate("fold_errors", F.lit(0.0), lambda a, x: a + x)
-    scored = pooled.withColumn("cv_mae", total / F.size("fold_errors"))
+    scored = pooled.withColumn("cv_mae", F.try_divide(total, F.size("fold_errors")))
     enough = F.col("residual_rows") >= MIN_RESIDUALS
     return scored.select(
         *_MODEL,
@@ -56,7 +56,8 @@ def residual_bounds(oof: DataFrame) -> DataFrame:
 def choose_model(scored: DataFrame) -> DataFrame:
     """The smallest CV error per symbol; the earlier candidate wins a tie."""
     rest = [c for c in scored.columns if c != "symbol"]
-    best = F.min_by(F.struct(*rest), F.struct("cv_mae", "model_order")).alias("best")
+    # A candidate without an error comes last.
+    best = F.min_by(F.struct(*rest), F.struct(F.col("cv_mae").isNull(), "cv_mae", "model_order")).alias("best")
     return scored.groupBy("symbol").agg(best).select("symbol", "best.*")
 
 

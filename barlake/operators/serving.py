@@ -68,12 +68,27 @@ def _stamp(at: dt.datetime | None) -> Column:
 
 
 def publish(outcome_forecast: DataFrame, outcome_metrics: DataFrame, namespace: str, at: dt.datetime | None = None) -> None:
-    """Appends history and metrics, replaces the exposed next-day rows."""
-    history_from_forecast(outcome_forecast, at).write.mode("append").saveAsTable(f"{namespace}.forecast_history")
-    metrics_from_run(outcome_metrics, at).write.mode("append").saveAsTable(f"{namespace}.forecast_metrics")
+    """Appends history and metrics, replaces the exposed next-day rows, all under one publication time.
+
+    Publishing again under the same time adds nothing, so a repeated job passes the time of its first try.
+    """
+    if at is None:
+        at = outcome_forecast.sparkSession.range(1).select(F.current_timestamp()).first()[0]
+    _append_once(history_from_forecast(outcome_forecast, at), f"{namespace}.forecast_history", "forecast_ts", at)
+    _append_once(metrics_from_run(outcome_metrics, at), f"{namespace}.forecast_metrics", "loaded_ts", at)
     overwrite_snapshot(latest_from_forecast(outcome_forecast, at), f"{namespace}.forecast_latest")
 
 
+def _append_once(rows: DataFrame, table: str, stamp: str, at: dt.datetime) -> None:
+    """Appends the rows of symbols that the table does not hold under this time yet."""
+    spark = rows.sparkSession
+    if spark.catalog.tableExists(table):
+        spark.catalog.refreshTable(table)
+        stored = spark.table(table).filter(F.col(stamp) == F.lit(at)).select("symbol").distinct()
+        rows = rows.join(stored, "symbol", "left_anti")
+    rows.write.mode("append").saveAsTable(table)
+
+
 def latest_forecast(latest: DataFrame, symbol: str | None = None) -> DataFrame:
     """The most recently exposed row per symbol."""
     rows = latest if symbol is None else latest.filter(F.col("symbol") == symbol)

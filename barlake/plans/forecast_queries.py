@@ -41,6 +41,12 @@ def c5_flat_guard(spark: SparkSession, sf: str) -> DataFrame:
     return report(FC.flat_check(_check(spark, sf).forecast, 100.0), 4)
 
 
+def c5_moving_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """A run with a high threshold: what moves less is not in the forecast."""
+    run = forecasting.CheckRun(_daily(spark, sf), min_std=100.0)
+    return report(run.forecast.select("symbol", "horizon_day", "pred_close"), 4)
+
+
 def f2_fold_mae(spark: SparkSession, sf: str) -> DataFrame:
     return report(selection.fold_mae(_check(spark, sf).oof), 4)
 

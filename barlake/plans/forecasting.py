@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from barlake.learners import linear, trees
-from barlake.operators import calendar, features, forecast as FC, recursion, selection, splits
+from barlake.operators import calendar, features, forecast as FC, quality, recursion, selection, splits
 from barlake.session import work_root
 
 # The deterministic candidates of the SQL checks: one feature each.
@@ -21,6 +21,15 @@ def segmented_rows(daily: DataFrame, min_rows: int = features.MIN_TRAIN_ROWS) ->
     return splits.with_segments(features.enough_history(train, min_rows))
 
 
+def excluded_series(daily: DataFrame, min_rows: int = features.MIN_TRAIN_ROWS) -> DataFrame:
+    """(symbol, reason) of every symbol whose series cannot be trained on."""
+    matrix = features.feature_matrix(daily)
+    broken = [(reason, F.max(F.coalesce(condition, F.lit(False)))) for reason, condition in quality.series_reasons()]
+    broken.append(("insufficient_history", F.count_if(features.is_training_row()) < min_rows))
+    reason = F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in broken])
+    return matrix.groupBy("symbol").agg(reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def sizes(segmented: DataFrame) -> DataFrame:
     return segmented.groupBy("symbol").agg(F.count(F.lit(1)).alias("train_rows"))
 
@@ -28,13 +37,25 @@ def sizes(segmented: DataFrame) -> DataFrame:
 class CheckRun:
     """The forecast job with the deterministic candidates: lazy frames, no action.
 
-    Everything after the feature shuffle stays partitioned by symbol.
+    Everything after the feature shuffle stays partitioned by symbol. Unusable series are not trained on and paths
+    that do not move are not in the forecast; ``excluded`` names both.
     """
 
-    def __init__(self, daily: DataFrame, job_run_id: object | None = None, horizon: int = calendar.HORIZON) -> None:
-        self.daily = daily
+    def __init__(
+        self,
+        daily: DataFrame,
+        job_run_id: object | None = None,
+        horizon: int = calendar.HORIZON,
+        min_std: float = FC.MIN_STD,
+    ) -> None:
+        self.offered = daily
         self.run_id = FC.resolve_run_id(job_run_id)
         self.horizon = horizon
+        self.min_std = min_std
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return quality.usable_rows(features.with_adjusted(self.offered))
 
     @cached_property
     def segmented(self) -> DataFrame:
@@ -70,9 +91,20 @@ class CheckRun:
         return linear.chosen_final_fits(self.packed, self.chosen)
 
     @cached_property
-    def paths(self) -> DataFrame:
+    def walked(self) -> DataFrame:
+        """The paths of all chosen models."""
         return recursion.linear_paths(self.states, self.final_fits)
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        return self.walked.filter(FC.path_reason(self.min_std).isNull())
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        """(symbol, reason): symbols without a published forecast."""
+        unmoved = self.walked.select("symbol", FC.path_reason(self.min_std).alias("reason")).filter("reason IS NOT NULL")
+        return excluded_series(self.offered).unionByName(unmoved)
+
     @cached_property
     def forecast(self) -> DataFrame:
         return FC.forecast_rows(self.paths, self.run_id)
@@ -83,7 +115,7 @@ class CheckRun:
 
     @cached_property
     def record(self) -> DataFrame:
-        return FC.experiment_record(self.scored, self.paths, self.run_id, self.horizon)
+        return FC.experiment_record(self.scored, self.paths, self.run_id, self.horizon, self.min_std)
 
 
 def default_trees() -> list[trees.TreeCandidate]:
@@ -104,12 +136,18 @@ class FullRun(CheckRun):
         job_run_id: object | None = None,
         horizon: int = calendar.HORIZON,
         relative: bool = True,
+        min_std: float = FC.MIN_STD,
     ) -> None:
-        super().__init__(daily, job_run_id, horizon)
+        super().__init__(daily, job_run_id, horizon, min_std)
         work_root(daily.sparkSession)
         self.candidates = default_trees() if candidates is None else list(candidates)
         self.relative = relative
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Read by the segments and by the states, so the log is cleaned once."""
+        return quality.usable_rows(features.with_adjusted(self.offered)).checkpoint()
+
     @cached_property
     def segmented(self) -> DataFrame:
         return segmented_rows(self.daily).checkpoint()
@@ -134,7 +172,7 @@ class FullRun(CheckRun):
         return selection.choose_model(self.scored).checkpoint()
 
     @cached_property
-    def paths(self) -> DataFrame:
+    def walked(self) -> DataFrame:
         start = self.states.checkpoint()
         parts = [recursion.linear_paths(start, self.final_fits)]
         # At most one name per candidate comes back.
@@ -148,9 +186,12 @@ class FullRun(CheckRun):
         return recursion.all_paths(parts).checkpoint()
 
 
-def candidate_roster(segmented: DataFrame) -> DataFrame:
-    """Which candidates are fitted per symbol, and on how many rows."""
-    names = ["elastic_net", *[c.name for c in default_trees()]]
-    listed = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("model_order")) for i, n in enumerate(names, 1)])
+def candidate_roster(segmented: DataFrame, candidates: Sequence[trees.TreeCandidate] | None = None) -> DataFrame:
+    """Which candidates are fitted per symbol, how often and on how many rows in the end."""
+    made = default_trees() if candidates is None else candidates
+    listed = F.array(
+        *[F.struct(F.lit(n).alias("model"), F.lit(i).alias("model_order"))
+          for n, i in [("elastic_net", 1), *[(c.name, c.order) for c in made]]]
+    )
     rows = sizes(segmented).select("symbol", "train_rows", F.inline(listed))
     return rows.withColumn("fit_count", F.lit(splits.FINAL_FIT))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barlake import schemas
 from barlake.functions.text import lenient_symbol
 from barlake.operators import calendar, conform as C, dedup, features, ingest, quality, serving, upsert
-from barlake.plans import given, medallion
+from barlake.plans import forecasting, given, medallion
 from barlake.plans.shape import report
 from barlake.session import fresh_folder
 from barlake.sources import prices, tables
@@ -77,10 +77,9 @@ def a5_incremental_start_whole_table(spark: SparkSession, sf: str) -> DataFrame:
 def a6_fixed_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed layout created (twice, the second time without effect), filled and read back."""
     table = f"{_namespace(spark)}.clean_prices"
-    tables.create_clean_table(spark, table)
-    tables.create_clean_table(spark, table)
-    rows = medallion.clean(given.raw_prices(spark, sf))
-    rows.select(spark.table(table).columns).hint("rebalance", "symbol").write.insertInto(table)
+    buckets = [tables.create_clean_table(spark, table) for _ in range(2)]
+    rows = tables.with_folders(medallion.clean(given.raw_prices(spark, sf)), buckets[0])
+    rows.select(spark.table(table).columns).hint("rebalance", tables.BUCKET, tables.MONTH).write.insertInto(table)
     return report(
         spark.table(table).groupBy("symbol").agg(F.count(F.lit(1)).alias("row_count"), F.max("date").alias("last_date"))
     )
@@ -238,6 +237,12 @@ def c3_series_checks(spark: SparkSession, sf: str) -> DataFrame:
     return quality.series_violations(features.with_adjusted(rows))
 
 
+def c3_excluded_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Why a symbol is left out of the forecast, over rows that no quality rule has filtered."""
+    rows = C.conform(given.raw_supplier_prices(spark, sf)).filter("symbol IS NOT NULL AND date IS NOT NULL")
+    return forecasting.excluded_series(medallion.daily(dedup.latest_version(rows)))
+
+
 def c4_history_check(spark: SparkSession, sf: str) -> DataFrame:
     return features.history_check(medallion.matrix_from_raw(given.raw_supplier_prices(spark, sf)))
 
@@ -265,6 +270,12 @@ def _two_loads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return dedup.latest_version(rows.filter(~last)), dedup.latest_version(rows.filter(last))
 
 
+def d2_last_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with load times."""
+    rows = quality.valid_rows(medallion.labelled(given.raw_prices(spark, sf)))
+    return report(medallion.daily(dedup.last_per_date(rows)))
+
+
 def d3_conditional_upsert(spark: SparkSession, sf: str) -> DataFrame:
     stored, fresh = _two_loads(spark, sf)
     return report(upsert.merge_newer(stored, fresh))

@@ -260,6 +260,6 @@ def l1_stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     raw.hint("rebalance", "ingestion_run_id").write.partitionBy("ingestion_run_id").parquet(folder)
     names = _namespace(spark)
     clean, rejects = f"{names}.clean_prices", f"{names}.rejects"
-    upsert_stream(spark, folder, raw.schema, clean, rejects, fresh_folder(spark, "stream"), 1, buckets=8).awaitTermination()
+    upsert_stream(spark, folder, raw.schema, clean, rejects, fresh_folder(spark, "stream"), 1, buckets=2).awaitTermination()
     counted = spark.table(rejects).groupBy("ingestion_date", "quality_issue").agg(F.count("*").alias("reject_rows"))
     return report(counted)

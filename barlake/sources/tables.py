@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlake import schemas
 
-BUCKET = "symbol_bucket"
+# Folder columns of the clean table, and the property that holds how many hash buckets of symbols it has.
+BUCKET, MONTH = "symbol_bucket", "bar_month"
+BUCKETS_PROPERTY = "symbol_buckets"
+DEFAULT_BUCKETS = 1
 
 
 def create_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -17,18 +20,34 @@ def create_namespace(spark: SparkSession, name: str, location: str | None = None
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{where}")
 
 
-def create_table(spark: SparkSession, name: str, ddl: str, partition_by: Sequence[str] = ()) -> None:
+def create_table(
+    spark: SparkSession, name: str, ddl: str, partition_by: Sequence[str] = (), properties: dict[str, object] | None = None
+) -> None:
     """A parquet table with a fixed layout; nothing happens when it exists."""
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{parts}")
+    kept = ", ".join(f"'{k}' = '{v}'" for k, v in (properties or {}).items())
+    more = f" TBLPROPERTIES ({kept})" if kept else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{parts}{more}")
 
 
-def create_clean_table(spark: SparkSession, name: str, bucketed: bool = False) -> None:
-    """Clean bars, one folder per symbol, or per hash bucket of symbols for a large universe."""
-    if bucketed:
-        create_table(spark, name, f"{schemas.CLEAN_DDL}, {BUCKET} int", [BUCKET])
-    else:
-        create_table(spark, name, schemas.CLEAN_DDL, ["symbol"])
+def create_clean_table(spark: SparkSession, name: str, buckets: int | None = None) -> int:
+    """Clean bars in folders of a hash bucket of symbols and a month; returns how many buckets the table has.
+
+    A load of new bars touches the newest months only. The number of buckets is fixed when the table is made.
+    """
+    made = buckets or DEFAULT_BUCKETS
+    ddl = f"{schemas.CLEAN_DDL}, {BUCKET} int, {MONTH} date"
+    create_table(spark, name, ddl, [BUCKET, MONTH], {BUCKETS_PROPERTY: made})
+    found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get(BUCKETS_PROPERTY)
+    if found is None or (buckets is not None and int(found) != buckets):
+        raise ValueError(f"{name} has {found or 'no'} symbol buckets, not {made}")
+    return int(found)
+
+
+def with_folders(rows: DataFrame, buckets: int) -> DataFrame:
+    """Adds the folder columns; they are never null for valid bars, whatever the symbol."""
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
+    return rows.withColumns({BUCKET: bucket, MONTH: F.trunc("date", "MM")})
 
 
 def create_reject_table(spark: SparkSession, name: str) -> None:

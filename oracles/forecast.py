@@ -52,6 +52,9 @@ SQL: dict[str, str] = {
     "c5_flat_guard": with_parts(
         f"SELECT symbol, {rd('s', 4)} AS pred_std, n AS forecast_rows, coalesce(s < 100.0, FALSE) AS is_flat FROM"
         " (SELECT symbol, stddev_samp(pred_close) AS s, count(*) AS n FROM forecast GROUP BY symbol)", "forecast"),
+    "c5_moving_forecast": with_parts(
+        f"SELECT symbol, horizon_day, {rd('pred_close', 4)} AS pred_close FROM forecast SEMI JOIN (SELECT symbol FROM forecast"
+        " GROUP BY symbol HAVING NOT coalesce(stddev_samp(pred_close) < 100.0, FALSE)) USING (symbol)", "forecast"),
     "f2_fold_mae": with_parts(
         f"SELECT symbol, model, model_order, fold::INTEGER AS fold, {rd('mae', 4)} AS mae, n AS row_count FROM fold_mae", "fold_mae"),
     "f3_cv_mae": with_parts(

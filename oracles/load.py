@@ -133,6 +133,18 @@ FROM (SELECT symbol, count(*) AS row_count, count(*) FILTER (date IS NULL) AS nu
   count(*) FILTER (coalesce(adj_close, close) IS NULL) AS null_adj_close,
   count(*) FILTER (volume IS NULL) AS null_volume, count(*) FILTER (close <= 0) AS close_not_positive,
   count(*) FILTER (volume < 0) AS volume_negative FROM conformed GROUP BY symbol)""", "conformed", **_RAW),
+    "c3_excluded_symbols": with_parts("""
+SELECT s.symbol, CASE WHEN nulls > 0 THEN 'null_values' WHEN low > 0 THEN 'close_not_positive'
+    WHEN negative > 0 THEN 'volume_negative' ELSE 'insufficient_history' END AS reason
+FROM (SELECT symbol, count(*) FILTER (close IS NULL OR volume IS NULL OR coalesce(adj_close, close) IS NULL) AS nulls,
+             count(*) FILTER (close <= 0) AS low, count(*) FILTER (volume < 0) AS negative
+      FROM clean GROUP BY symbol) s
+LEFT JOIN (SELECT symbol, count(*) AS n FROM train GROUP BY symbol) t USING (symbol)
+WHERE nulls + low + negative > 0 OR coalesce(n, 0) < 250""", "clean", "train", **_RAW,
+        clean=(newest_version("conformed WHERE symbol IS NOT NULL AND date IS NOT NULL"), ("conformed",)),
+        # The logarithm of a negative volume is an error here; such symbols are left out for that volume anyway.
+        daily=("SELECT symbol, date, close, adj_close, CASE WHEN volume < 0 THEN 0 ELSE volume END AS volume FROM clean",
+               ("clean",))),
     "c4_history_check": with_parts("""
 SELECT s.symbol, coalesce(t.n, 0) AS train_rows,
        CASE WHEN coalesce(t.n, 0) < 250 THEN 'insufficient_history' END AS reason
@@ -145,6 +157,9 @@ ON t.symbol = s.symbol""", "matrix", "train", **_RAW),
     "d2_last_per_date": with_parts(
         f"SELECT {DAILY} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY volume DESC,"
         " close DESC, adj_close DESC NULLS LAST) AS rn FROM valid) WHERE rn = 1", "valid"),
+    "d2_last_loaded": with_parts(
+        f"SELECT {DAILY} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY ingestion_ts DESC NULLS LAST,"
+        " volume DESC, close DESC, adj_close DESC NULLS LAST) AS rn FROM valid) WHERE rn = 1", "valid"),
     "d3_conditional_upsert": with_parts(f"SELECT {CLEAN} FROM merged", "merged", **_UPSERT),
     "d3_upsert_table": with_parts(f"SELECT {CLEAN} FROM merged", "merged", **_UPSERT),
     "d6_without_holidays": with_parts(

@@ -158,7 +158,7 @@ def walk_by_pandas(frame, sessions, predict):
     """Rebuilds every feature over the whole history at each step."""
     history, preds = frame.copy(), []
     for day in sessions:
-        made = by_pandas(history).dropna(subset=list(features.FEATURES))
+        made = by_pandas(history).replace([np.inf, -np.inf], np.nan).dropna(subset=list(features.FEATURES))
         pred = max(float(predict(made.iloc[[-1]][list(features.FEATURES)], history)), 0.01)
         preds.append(pred)
         bar = {"symbol": "A", "date": day, "close": pred, "adj_close": pred, "volume": history["volume"].iloc[-1]}
@@ -177,6 +177,23 @@ def test_linear_recursion_equals_rebuilding_features(spark):
     np.testing.assert_allclose(path.preds, expected, rtol=1e-9)
 
 
+@pytest.mark.parametrize("back, column, value", [(1, "adj_close", 0.0), (5, "adj_close", 0.0), (0, "volume", None), (30, "adj_close", 0.0)])
+def test_recursion_starts_from_the_newest_complete_bar(spark, back, column, value):
+    frame = price_frame("A", 320, 3)
+    frame[column] = frame[column].astype(object)
+    frame.loc[len(frame) - 1 - back, column] = value
+    coef = np.random.default_rng(5).normal(0, 0.05, len(features.FEATURES))
+    coef[0] = 0.9
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double, adj_close double, volume bigint")
+    states = recursion.start_states(bars, calendar.holidays(spark, 1990, 2060), 8)
+    fits = spark.createDataFrame([("A", "m", 1.5, coef.tolist())], "symbol string, model string, intercept double, coef array<double>")
+    path = recursion.linear_paths(states, fits).first()
+    plain = frame.astype({"adj_close": float, "volume": float})
+    expected = walk_by_pandas(plain, path.dates, lambda x, _: x.to_numpy()[0] @ coef + 1.5)
+    np.testing.assert_allclose(path.preds, expected, rtol=1e-9)
+
+
 def test_price_floor(spark):
     states = recursion.start_states(daily(spark, price_frame("A", 320)), calendar.holidays(spark, 1990, 2060), 3)
     fits = spark.createDataFrame([("A", "m", -5.0, [0.0] * 19)], "symbol string, model string, intercept double, coef array<double>")
@@ -215,6 +232,26 @@ def test_full_run(spark):
     assert run.record.filter("kind = 'metric' AND key LIKE 'cv_mae_%'").count() == 6
 
 
+def test_excluded_symbols(spark):
+    """Every symbol without a published forecast has its reason; none of them is in the forecast."""
+    flat = price_frame("FLAT", 330, 4)
+    flat[["close", "adj_close"]] = 50.0
+    zero, hole, sold = (price_frame(s, 330, i) for i, s in enumerate(("ZERO", "HOLE", "SOLD"), 5))
+    zero.loc[100, "close"] = 0.0
+    sold.loc[7, "volume"] = -1
+    hole = hole.astype({"volume": object})
+    hole.loc[9, "volume"] = None
+    frames = pd.concat([price_frame("GOOD", 330, 1), price_frame("SHORT", 100, 2), flat, zero, sold, hole])
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in frames.itertuples(index=False)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double, adj_close double, volume bigint")
+    run = forecasting.CheckRun(bars, horizon=5)
+    assert dict(run.excluded.collect()) == {
+        "SHORT": "insufficient_history", "FLAT": "flat_forecast", "ZERO": "close_not_positive", "SOLD": "volume_negative",
+        "HOLE": "null_values",
+    }
+    assert {r.symbol for r in run.forecast.collect()} == {r.symbol for r in run.metrics.collect()} == {"GOOD"}
+
+
 def test_one_symbol_with_plain_features(spark):
     run = forecasting.FullRun(daily(spark, price_frame("A", 310, 1)), [trees.gradient_boosting(2)], horizon=2, relative=False)
     assert run.forecast.count() == 2 and run.forecast.first().pipeline_run_id == "interactive"

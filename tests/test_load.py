@@ -97,14 +97,27 @@ def test_upsert_table_is_idempotent_and_leaves_others(spark, namespace, buckets)
     table = f"{namespace}.clean"
     first = clean(spark, clean_row("A"), clean_row("B", close=3.0), clean_row("C", close=4.0))
     upsert.upsert_table(first, table, buckets)
-    before = {f for f in spark.table(table).filter("symbol = 'B'").inputFiles()}
     fresh = clean(spark, clean_row("A", close=11.0, ts=LATER), clean_row("A", day=2, close=12.0))
     for _ in range(2):
         upsert.upsert_table(fresh, table, buckets)
     expected = [("A", 11.0), ("A", 12.0), ("B", 3.0), ("C", 4.0)]
     assert values(spark.table(table), "symbol", "close") == expected
-    if buckets is None:
-        assert before <= set(spark.table(table).inputFiles())
+    with pytest.raises(ValueError, match="symbol buckets"):
+        upsert.upsert_table(fresh, table, 5)
+
+
+def test_a_new_week_leaves_older_months_alone(spark, namespace):
+    table = f"{namespace}.clean"
+    old = [clean_row(s, date=dt.date(2023, m, 5)) for s in "ABCDEFGH" for m in (10, 11, 12)]
+    upsert.upsert_table(clean(spark, *old, *[clean_row(s) for s in "ABCDEFGH"]), table, 3)
+    before = {f for f in spark.table(table).inputFiles() if "bar_month=2023" in f}
+    week = clean(spark, *[clean_row(s, day, close=50.0, ts=LATER) for s in "ABCDEFGH" for day in range(1, 6)])
+    upsert.upsert_table(week, table)
+    assert len(before) == 3 * len({f.split("symbol_bucket=")[1][0] for f in before})
+    assert before == {f for f in spark.table(table).inputFiles() if "bar_month=2023" in f}
+    assert spark.table(table).count() == 24 + 40 and spark.table(table).filter("close = 50").count() == 40
+    upsert.upsert_table(week.limit(0), table)
+    assert spark.table(table).count() == 64
 
 
 def test_empty_symbol_keeps_its_history(spark, namespace):
@@ -114,12 +127,14 @@ def test_empty_symbol_keeps_its_history(spark, namespace):
     assert spark.table(table).count() == 2
 
 
-def test_upsert_by_semi_join_beyond_the_listed_folders(spark, namespace, monkeypatch):
-    monkeypatch.setattr(upsert, "MAX_LISTED_FOLDERS", 1)
+def test_upsert_of_many_symbols_and_months(spark, namespace):
+    """More folders than rows a folder; every key is there once, with the newer close."""
     table = f"{namespace}.clean"
-    upsert.upsert_table(clean(spark, clean_row("A"), clean_row("B"), clean_row("C")), table)
-    upsert.upsert_table(clean(spark, clean_row("A", close=2.0, ts=LATER), clean_row("B", close=3.0, ts=EARLIER)), table)
-    assert values(spark.table(table), "symbol", "close") == [("A", 2.0), ("B", 10.0), ("C", 10.0)]
+    rows = [clean_row(f"S{i}", date=dt.date(2000 + i % 7, 1 + i % 12, 3)) for i in range(300)]
+    upsert.upsert_table(clean(spark, *rows), table, 16)
+    upsert.upsert_table(clean(spark, *[{**r, "close": 2.0, "ingestion_ts": LATER} for r in rows[::2]]), table)
+    upsert.upsert_table(clean(spark, *[{**r, "close": 3.0, "ingestion_ts": EARLIER} for r in rows]), table)
+    assert values(spark.table(table), "symbol", "close") == sorted((r["symbol"], 10.0 if i % 2 else 2.0) for i, r in enumerate(rows))
 
 
 def test_refresh_twice_changes_nothing(spark, namespace):

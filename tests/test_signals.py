@@ -201,9 +201,10 @@ def test_publish_and_read_back(spark, namespace):
         " model_name string, cv_mae double, pipeline_run_id string",
     )
     done = spark.createDataFrame([("A", "m", 0.5, 0.3, 250, "r")], "symbol string, selected_model string, best_cv_mae double, pred_std double, train_rows bigint, pipeline_run_id string")
-    for hour in (1, 2):
+    for hour in (1, 2, 2):
         serving.publish(forecast, done, namespace, T + dt.timedelta(hours=hour))
     assert spark.table(f"{namespace}.forecast_history").count() == 4
+    assert spark.table(f"{namespace}.forecast_metrics").count() == 2
     assert serving.metrics_history(spark.table(f"{namespace}.forecast_metrics"), 1).first().loaded_ts == T + dt.timedelta(hours=2)
     row = serving.latest_forecast(spark.table(f"{namespace}.forecast_latest"), "A").first()
     assert (row.predicted_close, row.next_trading_day, row.exposed_ts) == (5.0, T.date(), T + dt.timedelta(hours=2))
