@@ -22,9 +22,11 @@ DICTIONARY_BYTES = 8192
 # A window is a word (at most this many bytes of it) between blanks; the padding lets its last bytes match.
 WINDOW_BYTES = 32
 PAD = b" " + bytes(10)
-# Toxic windows are those with a 5-byte string this much (natural logarithm) likelier in toxic texts.
-GRAM = 5
-MIN_LIFT = 2.5
+# Toxic windows are those with a 9-byte string (a shorter word as a whole) of at least this many toxic training texts
+# that is this much (natural logarithm) likelier in toxic texts.
+GRAM = 9
+MIN_TEXTS = 3
+MIN_LIFT = 3.0
 GAINS = (1, 2, 3, 4, 6)
 THRESHOLD = 0.3
 MEMO = 400_000
@@ -55,7 +57,8 @@ def _words(folded: bytes) -> list[bytes]:
 
 def _grams(word: bytes) -> set[bytes]:
     padded = b" " + word + b" "
-    return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
+    size = min(GRAM, len(padded))
+    return {padded[i : i + size] for i in range(len(padded) - size + 1)}
 
 
 def _dictionary(samples: list[bytes], segment: int) -> bytes:
@@ -134,8 +137,9 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     lift = {
         g: math.log((n + 0.5) / (len(first[0]) + 1)) - math.log((seen[1][g] + 0.5) / (len(first[1]) + 1))
         for g, n in seen[0].items()
+        if n >= MIN_TEXTS
     }
-    lifted = [[w for w in words if any(lift[g] >= MIN_LIFT for g in _grams(w))] for words in first[0]]
+    lifted = [[w for w in words if any(lift.get(g, 0.0) >= MIN_LIFT for g in _grams(w))] for words in first[0]]
     join = lambda sides: [b" " + b" ".join(words) + b" " for words in sides if words]
     model = Model(prior, _dictionary(join(lifted), 24), _dictionary(join(first[1]), 24), (0,), (1,), (0, 0))
     features = model.scorer().features
