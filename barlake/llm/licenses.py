@@ -68,40 +68,74 @@ RULES = (
     ("All-Rights-Reserved", ("all_rights",)),
 )
 
-# Longest known sentence: longer ones are not looked up.
-_LONGEST = max(map(len, SENTENCES))
+# Words that open a commented line or number a list entry; markers without letters or digits fall away by themselves.
+_COMMENT, _NUMBER = "rem|dnl", "[0-9]{1,3}|[a-z]|[ivx]{2,4}"
+_MARKER = f"(?:(?:{_NUMBER})[ &]|(?:{_COMMENT})[ \n]){{0,3}}"
+_WRAP = f"\n(?:(?:{_COMMENT}) )?"
+
+# Each run of other characters between two words becomes one sign: '%' ends a sentence and cannot be crossed (. ! ? before
+# white space, an empty line), '&' does so behind a list marker on the same line, '\n' ends a line (a line break, a
+# semicolon before white space), else ' '. Possessive repeats and the look at the character before keep every step linear
+# in the length of a run.
+_STEPS = (
+    (r"(^|[\r\n])[^A-Za-z0-9\r\n]+", "$1"),
+    (rf"(?i)((?:^|[\r\n])(?:(?:{_COMMENT})[ \t]+)?(?:{_NUMBER}))\.[ \t][^A-Za-z0-9\r\n]*+(?=[A-Za-z0-9])", "$1&"),
+    (r"[.!?][ \t\r\n]+", "%"),
+    (r";[ \t]", "~"),
+    (r"(?>\r\n?|\n)[\r\n]+", "%"),
+    (r"(?<![^A-Za-z0-9])[^A-Za-z0-9%]*+%[^A-Za-z0-9]*+", "%"),
+    (r"(?<![^A-Za-z0-9])[^A-Za-z0-9%~\r\n]*+[~\r\n][^A-Za-z0-9%]*+", "\n"),
+    (r"[^A-Za-z0-9%&\n]+", " "),
+)
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at line breaks and at . ! ? ; before white space; each is reduced to lower-case words."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?;][ \t\r\n]+", "\n")
-    words = lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
-    return F.filter(F.transform(F.split(lines, "[\r\n]+"), words), lambda s: s != "")
+    """Lower-case words; ' ' between words, '\\n' at line ends and semicolons, '%' and '&' at other sentence ends."""
+    signs = F.translate(F.coalesce(text, F.lit("")), "%~&", "---")
+    for pattern, sign in _STEPS:
+        signs = F.regexp_replace(signs, pattern, sign)
+    return F.lower(F.btrim(signs, F.lit(" %\n")))
+
+
+def _known_pattern(known: dict[str, str]) -> str:
+    """A known sentence between two ends, over any number of lines; a comment or list marker before it belongs to it."""
+    each = "|".join(s.replace(" ", f"(?: |{_WRAP})") for s in sorted(known, key=len, reverse=True))
+    return f"(?<![^\n%&]){_MARKER}({each})(?![^\n%&])"
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """``doc_id, n_sentences, n_known, sentence_ids, licenses`` for every row of ``docs`` (``doc_id, text``).
 
+    Sentences end at line breaks, empty lines and at . ! ? ; before white space. A known sentence may also be wrapped over
+    lines (not over an empty one), hold a semicolon, stand behind comment signs or after a list marker such as ``1.``,
+    ``(a)`` or ``*``; it is then one sentence, and its marker is none. The longest known sentence counts.
+
     ``sentence_ids`` holds the identifiers in text order as ``<id>``, each run of unknown sentences as ``|``.
     ``licenses`` lists the matched licences in the order of the rules, comma-joined, each once; empty without match. A
     rule matches its identifiers one directly after the other. Null texts have no sentences; repeated rows and null
     ids keep their own row. All steps stay inside the row, so no key can be hot.
     """
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = docs.select("doc_id", sentences(F.col("text")).alias("sentences"))
+    # Known sentences are put between '~', so they are the parts at odd places.
+    marked = F.regexp_replace(sentences(F.col("text")), _known_pattern(known), "~$1~")
+    found = docs.select("doc_id", F.split(marked, "~").alias("parts"))
+    unwrapped = lambda s: F.regexp_replace(s, _WRAP, " ")
+    ends = lambda s: F.size(F.filter(F.split(s, "[%&\n]"), lambda p: p != ""))
     found = found.select(
         "doc_id",
-        F.size("sentences").cast("bigint").alias("n_sentences"),
         F.transform(
-            "sentences", lambda s: F.coalesce(F.when(F.length(s) <= _LONGEST, F.try_element_at(table, s)), F.lit(""))
-        ).alias("ids"),
+            "parts",
+            lambda s, i: F.when(
+                i % 2 == 1,
+                F.struct(F.lit(1).alias("n"), F.concat(F.lit("<"), F.try_element_at(table, unwrapped(s)), F.lit(">")).alias("id")),
+            ).otherwise(F.struct(ends(s).alias("n"), F.when(F.length(F.btrim(s, F.lit("%&\n"))) > 0, "|").otherwise("").alias("id"))),
+        ).alias("parts"),
     )
-    tagged = F.transform("ids", lambda i: F.when(i == "", F.lit("|")).otherwise(F.concat(F.lit("<"), i, F.lit(">"))))
     found = found.select(
         "doc_id",
-        "n_sentences",
-        F.size(F.filter("ids", lambda i: i != "")).cast("bigint").alias("n_known"),
-        F.regexp_replace(F.array_join(tagged, ""), r"\|+", "|").alias("sentence_ids"),
+        F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("n_sentences"),
+        F.floor((F.size("parts") - 1) / 2).cast("bigint").alias("n_known"),
+        F.array_join(F.col("parts.id"), "").alias("sentence_ids"),
     )
     steps = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in rules]
