@@ -1,7 +1,7 @@
 """Registered queries: folds, candidates, selection, forecasts, run record.
 
 Queries with a SQL check use the deterministic one-feature candidates; the others fit the real
-candidates (with fewer trees and bins than the defaults, which are parameters).
+candidates at their full size.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from barlake.plans import forecasting, given, medallion
 from barlake.plans.shape import report
 from barlake.session import work_root
 
-TREES = 20
-ROUNDS = 10
-BINS = 64
-
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.daily_from_raw(given.raw_prices(spark, sf))
@@ -94,11 +90,11 @@ def _tree_oof(spark: SparkSession, sf: str, candidate: trees.TreeCandidate) -> D
 
 
 def g3_random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_oof(spark, sf, trees.random_forest(TREES, bins=BINS))
+    return _tree_oof(spark, sf, trees.random_forest())
 
 
 def g4_gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_oof(spark, sf, trees.gradient_boosting(ROUNDS, bins=BINS))
+    return _tree_oof(spark, sf, trees.gradient_boosting())
 
 
 def g5_candidate_roster(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,12 +105,8 @@ def g6_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     return report(_check(spark, sf).oof, 4)
 
 
-def _small_trees() -> list[trees.TreeCandidate]:
-    return [trees.random_forest(TREES, bins=BINS), trees.gradient_boosting(ROUNDS, bins=BINS), *trees.optional_boosting()]
-
-
 def g6_out_of_fold_all(spark: SparkSession, sf: str) -> DataFrame:
-    return report(forecasting.FullRun(_daily(spark, sf), _small_trees()).oof, 4)
+    return report(forecasting.FullRun(_daily(spark, sf)).oof, 4)
 
 
 def g7_model_choice(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +125,7 @@ def g8_refit_forest(spark: SparkSession, sf: str) -> DataFrame:
     work_root(spark)
     matrix = medallion.matrix_from_raw(given.raw_prices(spark, sf)).checkpoint()
     segmented = splits.with_segments(features.enough_history(features.training_rows(matrix)))
-    model = trees.final_fit(trees.training_frame(segmented, True), trees.random_forest(TREES, bins=BINS))
+    model = trees.final_fit(trees.training_frame(segmented, True), trees.random_forest())
     scored = trees.predict_rows(model, features.scoring_rows(matrix), True)
     return report(scored.select("symbol", "date", "adj_close", "pred"), 4)
 
@@ -161,7 +153,7 @@ def g10_recursive_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
 def g10_recursive_all(spark: SparkSession, sf: str) -> DataFrame:
     """Choice among all real candidates per symbol and the winner's path."""
     daily = _daily(spark, sf)
-    return report(forecasting.FullRun(daily, _small_trees()).forecast, 4)
+    return report(forecasting.FullRun(daily).forecast, 4)
 
 
 def g11_sessions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,0 +1,53 @@
+"""The registered tree queries fit the candidates at their full size."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+from barlake.learners import trees
+from barlake.plans import forecasting
+
+SF = "/root/testdata/sf0.001"
+SIZES = {"random_forest": ("numTrees", 500), "gradient_boosting": ("maxIter", 100)}
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "fitted"),
+    [
+        ("g3_random_forest", ["random_forest"]),
+        ("g4_gradient_boosting", ["gradient_boosting"]),
+        ("g8_refit_forest", ["random_forest"]),
+        ("g6_out_of_fold_all", ["random_forest", "gradient_boosting"]),
+        ("g10_recursive_all", ["random_forest", "gradient_boosting"]),
+    ],
+)
+def test_full_size(spark, monkeypatch, name, fitted):
+    """Stops each query where it hands over its candidates, so nothing is fitted."""
+    seen = []
+
+    def stop(_, candidate):
+        seen.append(candidate)
+        raise Stop
+
+    monkeypatch.setattr(trees, "training_frame", lambda *_: None)
+    monkeypatch.setattr(trees, "out_of_fold", stop)
+    monkeypatch.setattr(trees, "final_fit", stop)
+    full = forecasting.FullRun.__init__
+
+    def init(self, *args, **kwargs):
+        full(self, *args, **kwargs)
+        seen.extend(self.candidates)
+        raise Stop
+
+    monkeypatch.setattr(forecasting.FullRun, "__init__", init)
+    with pytest.raises(Stop):
+        entry.queries()[name](spark, SF)
+    assert [c.name for c in seen if c.name in SIZES] == fitted
+    for candidate in (c for c in seen if c.name in SIZES):
+        learner, (param, size) = candidate.make(), SIZES[candidate.name]
+        assert (learner.getOrDefault(param), learner.getOrDefault("maxBins")) == (size, 256)
