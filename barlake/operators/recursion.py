@@ -7,22 +7,26 @@ complete bar, floors the result and appends it as the next bar, so a step costs
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
-from pyspark.ml import Model
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlake.learners.linear import linear_value
-from barlake.learners.trees import predict_rows
+from barlake.learners.trees import predictor
 from barlake.operators.calendar import HORIZON, with_sessions
 from barlake.operators.features import FEATURES, LAGS, RETURNS, WIDTHS, WITNESSES, feature_matrix
-from barlake.session import work_root
+
+# What runs in tasks travels to the workers as code, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
 PRICE_FLOOR = 0.01
 
 DEPTH = max(WIDTHS) + 1
-CHECKPOINT_EVERY = 5
 # What a path row takes along from the choice, so that no join is needed after the recursion.
 CARRIED = ("cv_mae", "q_low", "q_high", "train_rows")
 
@@ -137,38 +141,55 @@ def linear_paths(states: DataFrame, final_fits: DataFrame) -> DataFrame:
     )
 
 
-def tree_paths(states: DataFrame, model: Model, name: str, relative: bool) -> DataFrame:
-    """The same for a fitted MLlib model: one transform of the state rows per step.
-
-    The lineage is cut every few steps with a reliable checkpoint, so a lost executor repeats at
-    most that many transforms.
+def _row_of_features(hist: np.ndarray, date, volume: float) -> np.ndarray:
+    """``latest_features`` for one price window, plus the price itself."""
+    now = hist[-1]
+    made = {f"lag_close_{k}": hist[-1 - k] for k in LAGS}
+    made |= {f"ret_{k}": now / hist[-1 - k] - 1 if hist[-1 - k] else np.nan for k in RETURNS}
+    for w in WIDTHS:
+        before = hist[-1 - w : -1]
+        made[f"roll_mean_{w}"] = before.sum() / w
+        made[f"roll_std_{w}"] = np.sqrt(((before - before.sum() / w) ** 2).sum() / (w - 1))
+    made |= {"dow": date.weekday(), "month": date.month, "log_volume": np.log1p(volume)}
+    return np.array([made[name] for name in FEATURES] + [now], float)
+
+
+def _walk(predict, state: dict) -> list[float | None]:
+    """All steps of one symbol; a step without a prediction leaves a gap that the next windows see."""
+    hist = np.array([np.nan if v is None else v for v in state["hist"]], float)
+    known = np.array([np.nan if v is None else v for v in state["known"]], float)
+    volume = np.nan if state["volume"] is None else state["volume"]
+    preds = []
+    for date in [state["last_date"], *state["dates"]][: len(state["dates"])]:
+        now = _row_of_features(hist, date, volume)
+        known = now if np.isfinite(now).all() else known
+        pred = predict(known[None, : len(FEATURES)])[0]
+        pred = max(pred, PRICE_FLOOR) if np.isfinite(pred) else np.nan
+        hist = np.append(hist, pred)[-DEPTH:]
+        preds.append(None if np.isnan(pred) else float(pred))
+    return preds
+
+
+def tree_paths(states: DataFrame, models: DataFrame, name: str) -> DataFrame:
+    """The same for fitted trees: a symbol's state meets its node arrays once and takes all steps there.
+
+    Symbols without a model have no path.
     """
-    spark = states.sparkSession
-    work_root(spark)
-    # The longest session list decides how many steps are planned; it is at most the horizon asked for.
-    steps = states.agg(F.max(F.size("dates"))).first()[0] or 0
-    kept = ("symbol", "volume", "last_date", "dates", "hist", "known", "preds")
     carried = _carried(states)
-    rows = states.withColumn("preds", F.array().cast("array<double>")).select(*kept, *carried)
-    for i in range(steps):
-        date = F.col("last_date") if i == 0 else F.get("dates", F.lit(i - 1))
-        known = _newest_complete(F.col("hist"), F.coalesce(date, F.col("last_date")), F.col("volume"), F.col("known"))
-        wide = rows.withColumn("known", known).select(
-            *kept, *carried, F.col("known")[len(FEATURES)].alias("adj_close"),
-            *[F.col("known")[j].alias(name) for j, name in enumerate(FEATURES)],
-        )
-        pred = F.when(F.col("pred").isNotNull(), F.greatest("pred", F.lit(PRICE_FLOOR)))
-        stepped = predict_rows(model, wide, relative).withColumn("pred", pred)
-        rows = stepped.select(
-            *kept[:4],
-            _appended(F.col("hist"), F.col("pred")).alias("hist"),
-            "known",
-            F.when(F.size("dates") > i, F.concat("preds", F.array("pred"))).otherwise(F.col("preds")).alias("preds"),
-            *carried,
-        )
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            rows = rows.checkpoint()
-    return rows.select("symbol", F.lit(name).alias("model"), "dates", "preds", *carried)
+    wanted = states.select("symbol", "hist", "volume", "last_date", "dates", "known", *carried)
+    types = {f.name: f.dataType.simpleString() for f in wanted.schema}
+    schema = ", ".join(["preds array<double>", "dates array<date>", "symbol string", *[f"{c} {types[c]}" for c in carried]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left if len(right) else left.slice(0, 0)
+        predict = predictor(right) if len(rows) else None
+        listed = rows.to_pylist()
+        preds = [_walk(predict, s) for s in listed]
+        columns = [pa.array(preds, pa.list_(pa.float64())), pa.array([s["dates"] for s in listed], pa.list_(pa.date32()))]
+        return pa.table([*columns, *[rows.column(c) for c in ("symbol", *carried)]], names=["preds", "dates", "symbol", *carried])
+
+    walked = wanted.groupBy("symbol").cogroup(models.groupBy("symbol")).applyInArrow(run, schema)
+    return walked.filter(F.size("dates") > 0).select("symbol", F.lit(name).alias("model"), "dates", "preds", *carried)
 
 
 def all_paths(parts: list[DataFrame]) -> DataFrame:

@@ -86,7 +86,7 @@ def g2_check_fits(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tree_oof(spark: SparkSession, sf: str, candidate: trees.TreeCandidate) -> DataFrame:
     work_root(spark)
-    return report(trees.out_of_fold(trees.training_frame(_segmented(spark, sf), True), candidate), 4)
+    return report(trees.out_of_fold(trees.training_frame(_segmented(spark, sf)), candidate), 4)
 
 
 def g3_random_forest(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,6 +97,10 @@ def g4_gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
     return _tree_oof(spark, sf, trees.gradient_boosting())
 
 
+def g5_second_order_boosting(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree_oof(spark, sf, trees.second_order_boosting())
+
+
 def g5_candidate_roster(spark: SparkSession, sf: str) -> DataFrame:
     return forecasting.candidate_roster(_segmented(spark, sf))
 
@@ -125,8 +129,8 @@ def g8_refit_forest(spark: SparkSession, sf: str) -> DataFrame:
     work_root(spark)
     matrix = medallion.matrix_from_raw(given.raw_prices(spark, sf)).checkpoint()
     segmented = splits.with_segments(features.enough_history(features.training_rows(matrix)))
-    model = trees.final_fit(trees.training_frame(segmented, True), trees.random_forest())
-    scored = trees.predict_rows(model, features.scoring_rows(matrix), True)
+    models = trees.final_fit(trees.training_frame(segmented), trees.random_forest())
+    scored = trees.predict_rows(models, features.scoring_rows(matrix))
     return report(scored.select("symbol", "date", "adj_close", "pred"), 4)
 
 

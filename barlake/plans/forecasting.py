@@ -119,15 +119,11 @@ class CheckRun:
 
 
 def default_trees() -> list[trees.TreeCandidate]:
-    return [trees.random_forest(), trees.gradient_boosting(), *trees.optional_boosting()]
+    return [trees.random_forest(), trees.gradient_boosting(), trees.second_order_boosting()]
 
 
 class FullRun(CheckRun):
-    """Elastic net per symbol and the tree candidates; frames used by many fits are checkpointed.
-
-    Folds, scores and the choice are per symbol. ``relative=False`` is for one symbol; with
-    many, the trees share one scaled panel.
-    """
+    """Elastic net and tree candidates per symbol; frames used by many fits are checkpointed."""
 
     def __init__(
         self,
@@ -135,13 +131,11 @@ class FullRun(CheckRun):
         candidates: Sequence[trees.TreeCandidate] | None = None,
         job_run_id: object | None = None,
         horizon: int = calendar.HORIZON,
-        relative: bool = True,
         min_std: float = FC.MIN_STD,
     ) -> None:
         super().__init__(daily, job_run_id, horizon, min_std)
         work_root(daily.sparkSession)
         self.candidates = default_trees() if candidates is None else list(candidates)
-        self.relative = relative
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -158,7 +152,7 @@ class FullRun(CheckRun):
 
     @cached_property
     def frame(self) -> DataFrame:
-        return trees.training_frame(self.segmented, self.relative)
+        return trees.training_frame(self.segmented)
 
     @cached_property
     def oof(self) -> DataFrame:
@@ -180,9 +174,9 @@ class FullRun(CheckRun):
         picked = self.chosen.join(sizes(self.segmented), "symbol")
         for candidate in self.candidates:
             if candidate.name in winners:
-                own = start.join(picked.filter(F.col("model") == candidate.name).drop("model"), "symbol")
-                model = trees.final_fit(self.frame, candidate)
-                parts.append(recursion.tree_paths(own, model, candidate.name, self.relative))
+                won = picked.filter(F.col("model") == candidate.name).drop("model")
+                models = trees.final_fit(self.frame.join(won.select("symbol"), "symbol", "left_semi"), candidate)
+                parts.append(recursion.tree_paths(start.join(won, "symbol"), models, candidate.name))
         return recursion.all_paths(parts).checkpoint()
 
 

@@ -79,7 +79,8 @@ GROUP BY b.symbol, f.fold""", "blocks"),
     "g5_candidate_roster": with_parts("""
 SELECT symbol, model, model_order, train_rows, 6 AS fit_count
 FROM (SELECT symbol, count(*) AS train_rows FROM sized GROUP BY symbol)
-CROSS JOIN (VALUES ('elastic_net', 1), ('random_forest', 2), ('gradient_boosting', 3)) m(model, model_order)""", "sized"),
+CROSS JOIN (VALUES ('elastic_net', 1), ('random_forest', 2), ('gradient_boosting', 3),
+  ('second_order_boosting', 4)) m(model, model_order)""", "sized"),
     "g6_out_of_fold": with_parts(
         f"SELECT symbol, model, model_order, fold::INTEGER AS fold, {day('date')} AS date, {rd('y', 4)} AS y, {rd('pred', 4)} AS pred,"
         f" {rd('residual', 4)} AS residual FROM oof", "oof"),

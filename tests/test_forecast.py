@@ -200,24 +200,24 @@ def test_price_floor(spark):
     assert recursion.linear_paths(states, fits).first().preds == [0.01] * 3
 
 
-@pytest.mark.parametrize("relative", [False, True])
-def test_tree_recursion_equals_rebuilding_features(spark, relative):
+@pytest.mark.parametrize("candidate", [trees.random_forest(20, 4), trees.gradient_boosting(5)])
+def test_tree_recursion_equals_rebuilding_features(spark, candidate):
     frame = price_frame("A", 320, 4)
     bars = daily(spark, frame)
     segmented = forecasting.segmented_rows(bars)
-    model = trees.final_fit(trees.training_frame(segmented, relative), trees.random_forest(3, 4))
-    path = recursion.tree_paths(recursion.start_states(bars, calendar.holidays(spark, 1990, 2060), 3), model, "random_forest", relative).first()
+    models = trees.final_fit(trees.training_frame(segmented), candidate).checkpoint()
+    path = recursion.tree_paths(recursion.start_states(bars, calendar.holidays(spark, 1990, 2060), 3), models, candidate.name).first()
 
     def predict(x, history):
         row = spark.createDataFrame(x.assign(adj_close=history["adj_close"].iloc[-1]))
-        return trees.predict_rows(model, row, relative).first().pred
+        return trees.predict_rows(models, row.withColumn("symbol", F.lit("A"))).first().pred
 
     np.testing.assert_allclose(path.preds, walk_by_pandas(frame, path.dates, predict), rtol=1e-9)
 
 
 def test_full_run(spark):
     bars = daily(spark, price_frame("A", 330, 1), price_frame("B", 330, 2), price_frame("SHORT", 100, 3))
-    run = forecasting.FullRun(bars, [trees.random_forest(3, 4), trees.gradient_boosting(2)], 77, horizon=6)
+    run = forecasting.FullRun(bars, [trees.random_forest(20, 4), trees.gradient_boosting(2)], 77, horizon=6)
     oof = run.oof.groupBy("symbol", "model", "fold").count().collect()
     assert len(oof) == 2 * 3 * 5 and {r["count"] for r in oof} == {279 // 6}
     rows = run.forecast.orderBy("symbol", "horizon_day").collect()
@@ -252,8 +252,8 @@ def test_excluded_symbols(spark):
     assert {r.symbol for r in run.forecast.collect()} == {r.symbol for r in run.metrics.collect()} == {"GOOD"}
 
 
-def test_one_symbol_with_plain_features(spark):
-    run = forecasting.FullRun(daily(spark, price_frame("A", 310, 1)), [trees.gradient_boosting(2)], horizon=2, relative=False)
+def test_one_symbol(spark):
+    run = forecasting.FullRun(daily(spark, price_frame("A", 310, 1)), [trees.gradient_boosting(2)], horizon=2)
     assert run.forecast.count() == 2 and run.forecast.first().pipeline_run_id == "interactive"
 
 
