@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barlake.llm import bpe, decontaminate, licenses, paragraphs, resample, simhash, suffixes, topk, toxicity, warc
+from barlake.llm import (
+    alignment,
+    bpe,
+    decontaminate,
+    licenses,
+    packing,
+    paragraphs,
+    resample,
+    simhash,
+    suffixes,
+    topk,
+    toxicity,
+    warc,
+)
 
-MODULES = (licenses, paragraphs, resample, topk, toxicity, bpe, warc, suffixes, decontaminate, simhash)
+MODULES = (
+    licenses, paragraphs, resample, topk, toxicity, bpe, warc, suffixes, decontaminate, simhash, packing, alignment
+)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
