@@ -7,6 +7,7 @@ from barlake.llm import (
     alignment,
     bpe,
     decontaminate,
+    lexical,
     licenses,
     packing,
     paragraphs,
@@ -19,7 +20,8 @@ from barlake.llm import (
 )
 
 MODULES = (
-    licenses, paragraphs, resample, topk, toxicity, bpe, warc, suffixes, decontaminate, simhash, packing, alignment
+    licenses, paragraphs, resample, topk, toxicity, bpe, warc, suffixes, decontaminate, simhash, packing, alignment,
+    lexical,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
