@@ -8,7 +8,7 @@
    so a group needs at least the sum of its shares, rounded up. The largest such bound over several families of
    functions certifies the group when it equals the number of its sequences.
 4. A certified group gives up only its emptiest sequences, whose room makes one sequence (what rounding up costs it);
-   a group with a gap gives up two more for each sequence above its bound. What was given up is dealt anew into fewer
+   a group with a gap gives up all that are not full, in the first rounds. What was given up is dealt anew into fewer
    groups and packed again, until it fits one group.
 
 Groups exchange rows, never sums over all documents: no task holds more than a group, however large the table is.
@@ -33,9 +33,9 @@ from barlake.llm.vocabularies import json_encoding
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 1024
 END_ID = 2
-# Mean number of pieces in a group, and rounds in which groups with a gap give up more than one sequence.
-GROUP = 8192
-EXCHANGES = 4
+# Mean number of pieces in a group, and rounds in which groups with a gap give up all that is not full.
+GROUP = 16384
+EXCHANGES = 6
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _ARROW = pa.schema(
@@ -149,9 +149,10 @@ def _packed(round_: int, sequence: int, last: bool):
         gap = len(room) - lower_bound(sizes, sequence)
         emptiest = np.argsort(-room, kind="stable")
         emptiest = emptiest[room[emptiest] > 0]
-        # Sequences whose room together makes one, and two more for each that the bound says is missing.
+        # With a gap all that is not full; certified, the sequences whose room together makes one.
         enough = 1 + int(np.searchsorted(np.cumsum(room[emptiest]), sequence))
-        give_up = 0 if last else max(1, min(enough + 2 * gap * (round_ < EXCHANGES), len(room) // 8))
+        give_up = len(emptiest) if gap and round_ < EXCHANGES else max(1, min(enough, len(room) // 8))
+        give_up = 0 if last else give_up
         kept = ~np.isin(where, emptiest[:give_up])
         ids = (round_ << 56) + (key[0].as_py() << 20) + where
         return table.append_column("sequence_id", pa.array(ids, mask=~kept)).append_column("offset", pa.array(offset))
