@@ -252,11 +252,18 @@ def _marked(batches):
         )
 
 
-def _distinct_suffixes(unit: Unit, mask: bytes):
-    """Positions, distinct hashes, the distinct one of each position, least document id of each."""
+def _distinct_suffixes(unit: Unit, mask: bytes, buckets: int = 1, low: int = 0, high: int = 1):
+    """Positions, distinct hashes, the distinct one of each position, least document id of each.
+
+    Of the suffixes in the buckets low to high - 1 only, which are picked before anything is sorted.
+    """
     at, hashes = unit.suffixes(np.frombuffer(mask, np.uint8))
+    if high - low < buckets:
+        where = bucket_of(hashes, buckets)
+        mine = (where >= low) & (where < high)
+        at, hashes = at[mine], hashes[mine]
     ids = unit.ids[unit.owners(at)]
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     ordered = hashes[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, bool)
     back = np.empty(len(at), np.int64)
@@ -274,16 +281,12 @@ def _suffix_parts(buckets: int, low: int, high: int):
     def run(batches):
         for row in _rows(batches):
             unit = Unit.of(row)
-            _, _, distinct, _, least = _distinct_suffixes(unit, row["mask"])
-            where = bucket_of(distinct, buckets)
-            a, b = np.searchsorted(where, (low, high))
-            if a == b:
+            _, _, distinct, _, least = _distinct_suffixes(unit, row["mask"], buckets, low, high)
+            if not len(distinct):
                 continue
-            names, starts = np.unique(where[a:b], return_index=True)
+            names, starts = np.unique(bucket_of(distinct, buckets), return_index=True)
             rows = []
-            for name, keys, owner in zip(
-                names, np.split(distinct[a:b], starts[1:]), np.split(least[a:b], starts[1:]), strict=True
-            ):
+            for name, keys, owner in zip(names, np.split(distinct, starts[1:]), np.split(least, starts[1:]), strict=True):
                 ids, docs = np.unique(owner, return_inverse=True)
                 kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
                 rows.append((row["unit"], int(name), keys.tobytes(), docs.astype(kind).tobytes(), ids.tobytes()))
@@ -302,7 +305,7 @@ def _tied_suffixes(key: tuple, table: pa.Table) -> pa.Table:
         keys.append(own)
         owners.append(np.frombuffer(i, np.int64)[docs])
     every, owner = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     ordered = every[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     least = np.minimum.reduceat(owner[order], np.flatnonzero(first))
