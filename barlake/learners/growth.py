@@ -85,22 +85,19 @@ class Trees:
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _best_splits(cur, level, starts, sizes, ridge, leaf, columns):
-    """Per node: gain over the parent, column and position of its best split, and the node's sums.
+def _best_splits(cur, level, starts, sizes, sums, ridge, leaf, columns):
+    """Per node: gain over the parent, column and position of its best split.
 
     Ties go to the first column, then to the smallest value.
     """
-    grad, hess, ranks = level
-    ends = starts + sizes
+    (grad, hess, ranks), (total_g, total_h) = level, sums
     cg = np.cumsum(grad.take(cur), axis=1)
-    total_g = np.diff(cg[0, ends - 1], prepend=0.0)
     seen = np.arange(1, cur.shape[1] + 1) - np.repeat(starts, sizes)
     rest = np.repeat(sizes, sizes) - seen
     if hess is None:
-        total_h, hl, hr = sizes.astype(float), seen.astype(float), rest.astype(float)
+        hl, hr = seen.astype(float), rest.astype(float)
     else:
         hl = np.cumsum(hess.take(cur), axis=1)
-        total_h = np.diff(hl[0, ends - 1], prepend=0.0)
         hl -= np.repeat(np.cumsum(total_h) - total_h, sizes)
         hr = np.repeat(total_h, sizes) - hl
     cg -= np.repeat(np.cumsum(total_g) - total_g, sizes)
@@ -128,7 +125,7 @@ def _best_splits(cur, level, starts, sizes, ridge, leaf, columns):
     hit = np.flatnonzero(own == np.repeat(top, sizes))
     node = np.repeat(np.arange(len(starts)), sizes).take(hit)
     first = np.concatenate([[True], node[1:] != node[:-1]])
-    return top - total_g * total_g / (total_h + ridge), column, hit[first], total_g, total_h
+    return top - total_g * total_g / (total_h + ridge), column, hit[first]
 
 
 def grow(
@@ -142,37 +139,40 @@ def grow(
     """
     width, n = data.order.shape
     # Places in the flattened (column, row) tables.
-    base = (np.arange(width) * n)[:, None]
-    cur = data.order + base
+    cur = data.order + (np.arange(width) * n)[:, None]
     if rows is not None:
         cur = cur[rows[data.order]].reshape(width, -1)
     level_data = np.tile(grad, width), None if hess is None else np.tile(hess, width), data.ranks.ravel()
     made: list[tuple[np.ndarray, ...]] = []
-    starts, sizes = np.array([0]), np.array([cur.shape[1]])
-    count = 1
+    sizes, count = np.array([cur.shape[1]]), 1
     for level in range(depth + 1):
+        starts = np.cumsum(sizes) - sizes
         feature = np.full(len(starts), -1, np.int16)
         threshold, left = np.zeros(len(starts)), np.zeros(len(starts), np.int32)
-        if level == depth:
-            g = np.add.reduceat(grad.take(cur[0]), starts)
-            h = sizes if hess is None else np.add.reduceat(hess.take(cur[0]), starts)
-            made.append((feature, threshold, left, g / (h + ridge)))
+        g = np.add.reduceat(grad.take(cur[0]), starts)
+        h = sizes.astype(float) if hess is None else np.add.reduceat(hess.take(cur[0]), starts)
+        made.append((feature, threshold, left, g / (h + ridge)))
+        open_ = np.flatnonzero(sizes >= 2 * leaf) if level < depth else starts[:0]
+        if not len(open_):
             break
-        gain, column, at, g, h = _best_splits(cur, level_data, starts, sizes, ridge, leaf, columns)
-        scale = np.abs(g * g / (h + ridge)) + 1.0
-        can = np.isfinite(gain) & (gain > _GAIN_FLOOR * scale)
+        if len(open_) < len(sizes):
+            # Nodes too small for two leaves are leaves; their rows go no further.
+            cur = cur.take(np.flatnonzero(np.repeat(sizes >= 2 * leaf, sizes)), axis=1)
+            sizes = sizes[open_]
+            starts = np.cumsum(sizes) - sizes
+        g, h = g[open_], h[open_]
+        gain, column, at = _best_splits(cur, level_data, starts, sizes, (g, h), ridge, leaf, columns)
+        can = np.isfinite(gain) & (gain > _GAIN_FLOOR * (g * g / (h + ridge) + 1.0))
         split = np.flatnonzero(can)
         if not len(split):
-            made.append((feature, threshold, left, g / (h + ridge)))
             break
         low, high = cur[column[split], at[split]], cur[column[split], at[split] + 1]
-        feature[split] = column[split]
+        feature[open_[split]] = column[split]
         a, b = data.values[low % n, column[split]], data.values[high % n, column[split]]
         middle = a + (b - a) / 2
-        threshold[split] = np.where(middle < b, middle, a)
-        left[split] = count + 2 * np.arange(len(split))
+        threshold[open_[split]] = np.where(middle < b, middle, a)
+        left[open_[split]] = count + 2 * np.arange(len(split))
         count += 2 * len(split)
-        made.append((feature, threshold, left, g / (h + ridge)))
         # Rows of the split nodes move on, each column sorted by child and, within, by value as before.
         place = np.flatnonzero(np.repeat(can, sizes))
         kept = sizes[split]
@@ -186,7 +186,6 @@ def grow(
         inner += (np.arange(width) * cur.shape[1])[:, None]
         cur = cur.take(inner)
         sizes = np.bincount(key[0], minlength=2 * len(split))
-        starts = np.cumsum(sizes) - sizes
     feature, threshold, left, value = (np.concatenate(c) for c in zip(*made, strict=True))
     return Trees(np.zeros(1, np.int32), feature, threshold, left, value)
 

@@ -1,7 +1,7 @@
-"""Linear candidates: elastic net from Gram sums, and one-feature least squares.
+"""Linear candidates: elastic net from co-moments, and one-feature least squares.
 
 A fit is one row: symbol, model, model_order, fit, train_rows, intercept, coef (one per feature).
-Fits 1..5 are the folds, 6 is the final one. Fold training sets are prefixes of segments, so sums
+Fits 1..5 are the folds, 6 is the final one. Fold training sets are prefixes of segments, so co-moments
 per (symbol, segment) hold all six fits and the price rows are scanned once.
 """
 
@@ -13,6 +13,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,7 +31,7 @@ FIT_SCHEMA = (
 )
 _WIDTH = len(FEATURES)
 _PAIRS = list(combinations_with_replacement(range(_WIDTH + 1), 2))
-_PRICE_LEVEL = [n.startswith(("lag_close", "roll_mean")) for n in FEATURES]
+_ROWS_AT, _COLS_AT = np.array(_PAIRS).T
 _SLICE = 256
 
 # The solver travels to the workers as code, so they need not have this package installed.
@@ -65,38 +66,68 @@ def single_feature_fits(segmented: DataFrame, candidates: dict[str, str]) -> Dat
     ).select("symbol", "model", "model_order", "fit", "train_rows", "intercept", "coef")
 
 
-def gram_sums(segmented: DataFrame) -> DataFrame:
-    """One row per symbol: six segments of (rows, sums, cross products), flattened.
+def co_moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per group: number of rows, means of the features and the target, and their co-moments (upper triangle).
 
-    Prices are taken relative to the symbol's mean price first, which keeps the sums well
-    conditioned; the offsets travel along so that the intercept can be moved back.
+    Co-moments are sums of products of distances from the group's own means, so price levels cost no digits, and
+    groups merge without their rows (``merged``). A group is one symbol's rows or a part of them, which the calendar
+    bounds; rows that are partitioned by symbol already are not shuffled.
     """
-    whole = Window.partitionBy("symbol")
-    level = segmented.withColumns(
-        {"x_offset": F.avg("adj_close").over(whole), "y_offset": F.avg("close").over(whole)}
-    )
-    centred = level.select(
-        "symbol",
-        "segment",
-        "x_offset",
-        "y_offset",
-        *[(F.col(n) - F.col("x_offset") if p else F.col(n)).alias(f"v{i}") for i, (n, p) in enumerate(zip(FEATURES, _PRICE_LEVEL))],
-        (F.col("target") - F.col("y_offset")).alias(f"v{_WIDTH}"),
-    )
-    sums = [F.sum(f"v{i}") for i in range(_WIDTH + 1)]
-    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in _PAIRS]
-    per_segment = centred.groupBy("symbol", "segment", "x_offset", "y_offset").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[c.alias(f"s{k}") for k, c in enumerate(sums)],
-        *[c.alias(f"p{k}") for k, c in enumerate(products)],
-    )
-    packed = F.array("n", *[f"s{k}" for k in range(len(sums))], *[f"p{k}" for k in range(len(products))])
-    ordered = F.array_sort(F.collect_list(F.struct("segment", packed.alias("g"))))
-    return per_segment.groupBy("symbol").agg(
-        F.first("x_offset").alias("x_offset"),
-        F.first("y_offset").alias("y_offset"),
-        F.flatten(F.transform(ordered, lambda s: s["g"])).alias("sums"),
-    )
+    columns = [*FEATURES, "target"]
+    names = [*keys, "n", "mean", "moment"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(c).to_numpy().astype(float) for c in columns])
+        mean = x.mean(axis=0)
+        moment = (x - mean).T @ (x - mean)
+        packed = [pa.array([len(x)]), pa.array([mean]), pa.array([moment[_ROWS_AT, _COLS_AT]])]
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], *packed], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n bigint", "mean array<double>", "moment array<double>"])
+    return rows.select(*keys, *columns).groupBy(*keys).applyInArrow(run, schema)
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """(n, mean, co-moment matrix) of two disjoint sets of rows together; leading axes are many pairs at once."""
+    (na, ma, ca), (nb, mb, cb) = a, b
+    n, step = na + nb, mb - ma
+    share = (nb / n)[..., None]
+    return n, ma + step * share, ca + cb + step[..., :, None] * step[..., None, :] * (na * nb / n)[..., None, None]
+
+
+def merge_moments(parts: DataFrame, *keys: str) -> DataFrame:
+    """Adds up co-moments of disjoint rows, as of earlier bars (stored) and new ones: no row is read again."""
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    names = [*keys, "n", "mean", "moment"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        # A fixed order of the parts, so that repeated tasks agree to the last digit.
+        rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["mean"], r["moment"]))
+        total = None
+        for r in rows:
+            one = np.array([r["n"]], float), np.array([r["mean"]]), _square(np.array([r["moment"]]))
+            total = one if total is None else merged(total, one)
+        n, mean, moment = total
+        packed = [pa.array([int(n[0])]), pa.array([mean[0]]), pa.array([moment[0][_ROWS_AT, _COLS_AT]])]
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], *packed], names=names)
+
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+    return parts.select(names).groupBy(*keys).applyInArrow(run, schema)
+
+
+def _square(triangle: np.ndarray) -> np.ndarray:
+    out = np.empty((*triangle.shape[:-1], _WIDTH + 1, _WIDTH + 1))
+    out[..., _ROWS_AT, _COLS_AT] = triangle
+    out[..., _COLS_AT, _ROWS_AT] = triangle
+    return out
+
+
+def packed_moments(segmented: DataFrame) -> DataFrame:
+    """One row per symbol: the co-moments of its six segments, in order."""
+    parts = co_moments(segmented, "symbol", "segment")
+    ordered = F.array_sort(F.collect_list(F.struct("segment", "n", "mean", "moment")))
+    return parts.groupBy("symbol").agg(ordered.alias("segments"))
 
 
 def descend(
@@ -146,27 +177,24 @@ def _duality_gap(g, b, yy, w, l1, l2):
 
 
 def _solve(frames: Iterator[pd.DataFrame], alpha: float, l1_ratio: float, model: str, order: int):
-    rows_at, cols_at = np.array(_PAIRS).T
     for frame in frames:
         for lo in range(0, len(frame), _SLICE):
             part = frame.iloc[lo : lo + _SLICE]
-            sums = np.stack(part["sums"].to_numpy()).reshape(len(part), FOLDS + 1, -1).cumsum(axis=1)
-            n = sums[:, :, 0]
-            first = sums[:, :, 1 : _WIDTH + 2]
-            second = np.empty((len(part), FOLDS + 1, _WIDTH + 1, _WIDTH + 1))
-            second[:, :, rows_at, cols_at] = sums[:, :, _WIDTH + 2 :]
-            second[:, :, cols_at, rows_at] = sums[:, :, _WIDTH + 2 :]
-            mean = first / n[..., None]
-            centred = (second - first[..., :, None] * mean[..., None, :]).reshape(-1, _WIDTH + 1, _WIDTH + 1)
+            listed = [[s for s in segments] for segments in part["segments"]]
+            n, mean, moment = (
+                np.array([[s[name] for s in segments] for segments in listed], float) for name in ("n", "mean", "moment")
+            )
+            moment = _square(moment)
+            # Training sets are prefixes of the segments.
+            fits = [(n[:, 0], mean[:, 0], moment[:, 0])]
+            for k in range(1, FOLDS + 1):
+                fits.append(merged(fits[-1], (n[:, k], mean[:, k], moment[:, k])))
+            n, mean, moment = (np.stack(x, axis=1) for x in zip(*fits, strict=True))
+            flat = moment.reshape(-1, _WIDTH + 1, _WIDTH + 1)
             w = descend(
-                centred[:, :_WIDTH, :_WIDTH], centred[:, :_WIDTH, _WIDTH], centred[:, _WIDTH, _WIDTH], n.reshape(-1),
-                alpha, l1_ratio,
+                flat[:, :_WIDTH, :_WIDTH], flat[:, :_WIDTH, _WIDTH], flat[:, _WIDTH, _WIDTH], n.reshape(-1), alpha, l1_ratio
             ).reshape(len(part), FOLDS + 1, _WIDTH)
-            offset = np.where(_PRICE_LEVEL, part["x_offset"].to_numpy()[:, None], 0.0)
-            intercept = (
-                mean[..., _WIDTH] + part["y_offset"].to_numpy()[:, None]
-                - np.einsum("sfk,sfk->sf", w, mean[..., :_WIDTH] + offset[:, None, :])
-            )
+            intercept = mean[..., _WIDTH] - np.einsum("sfk,sfk->sf", w, mean[..., :_WIDTH])
             yield pd.DataFrame(
                 {
                     "symbol": np.repeat(part["symbol"].to_numpy(), FOLDS + 1),
@@ -185,13 +213,13 @@ def elastic_net_fits(
 ) -> DataFrame:
     """Elastic net of the target on all features, per symbol and fit.
 
-    Spark sums the products; Python only solves 19 x 19 systems, one row per symbol.
+    The rows of a segment become co-moments; what is solved are 19 x 19 systems, one row per symbol.
     """
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _solve(frames, alpha, l1_ratio, model, order)
 
-    return gram_sums(segmented).mapInPandas(solve, FIT_SCHEMA)
+    return packed_moments(segmented).mapInPandas(solve, FIT_SCHEMA)
 
 
 def linear_value(intercept: Column, coef: Column, values: list[Column]) -> Column:

@@ -37,13 +37,18 @@ def rejected_rows(labelled: DataFrame) -> DataFrame:
     return labelled.filter("NOT is_valid")
 
 
+COUNTS = ("total_rows", "valid_rows", "rejected_rows")
+
+
+def counts() -> list[Column]:
+    """Total, valid and rejected rows; as aggregates of a query or observed on the way to a write."""
+    made = (F.count(F.lit(1)), F.count_if("is_valid"), F.count_if(~F.col("is_valid")))
+    return [c.alias(n) for n, c in zip(COUNTS, made, strict=True)]
+
+
 def load_counts(labelled: DataFrame) -> DataFrame:
     """Total, valid and rejected rows in one pass."""
-    return labelled.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if("is_valid").alias("valid_rows"),
-        F.count_if(~F.col("is_valid")).alias("rejected_rows"),
-    )
+    return labelled.agg(*counts())
 
 
 def reject_summary(rejects: DataFrame) -> DataFrame:

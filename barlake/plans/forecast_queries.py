@@ -6,13 +6,16 @@ candidates at their full size.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlake.learners import linear, trees
 from barlake.operators import calendar, features, forecast as FC, recursion, selection, serving, splits
 from barlake.plans import forecasting, given, medallion
 from barlake.plans.shape import report
-from barlake.session import work_root
+from barlake.session import fresh_folder, work_root
+from barlake.sources import tables
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +81,28 @@ def g2_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def g2_co_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """What the elastic net is solved from: means and correlations of features and target per symbol and segment."""
+    names = [*features.FEATURES, "target"]
+    moments = linear.co_moments(_segmented(spark, sf), "symbol", "segment")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    places = lambda values: F.array(*map(F.lit, values))
+    different = [k for k, (i, j) in enumerate(pairs) if i < j]
+    rows = moments.withColumn("k", F.explode(places(different)))
+    first, second, own = places([i for i, _ in pairs])[F.col("k")], places([j for _, j in pairs])[F.col("k")], places(
+        [pairs.index((i, i)) for i in range(len(names))]
+    )
+    rows = rows.withColumns({"i": first, "j": second, "own": own})
+    spread = F.sqrt(F.col("moment")[F.col("own")[F.col("i")]] * F.col("moment")[F.col("own")[F.col("j")]])
+    return report(
+        rows.select(
+            "symbol", "segment", F.col("n").alias("row_count"), places(names)[F.col("i")].alias("feature_a"),
+            places(names)[F.col("j")].alias("feature_b"), F.col("mean")[F.col("i")].alias("mean_a"),
+            F.try_divide(F.col("moment")[F.col("k")], spread).alias("correlation"),
+        ), 6, mean_a=4,
+    )
+
+
 def g2_check_fits(spark: SparkSession, sf: str) -> DataFrame:
     fits = _check(spark, sf).fits
     slope = F.aggregate("coef", F.lit(0.0), lambda a, x: a + x)
@@ -198,3 +223,27 @@ def h5_publish_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def h5_publish_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return report(serving.metrics_from_run(_check(spark, sf).metrics, given.PUBLISHED), 4)
+
+
+def _published(spark: SparkSession, sf: str) -> str:
+    """Namespace of a run that was published twice under one time."""
+    namespace = f"barlake_{uuid.uuid4().hex[:12]}"
+    tables.create_namespace(spark, namespace, fresh_folder(spark, "tables"))
+    done = _check(spark, sf)
+    work_root(spark)
+    forecast, metrics = done.forecast.checkpoint(), done.metrics.checkpoint()
+    for _ in range(2):
+        serving.publish(forecast, metrics, namespace, given.PUBLISHED)
+    return namespace
+
+
+def h5_published_history(spark: SparkSession, sf: str) -> DataFrame:
+    return report(spark.table(f"{_published(spark, sf)}.forecast_history"), 4)
+
+
+def h5_published_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return report(spark.table(f"{_published(spark, sf)}.forecast_latest"), 4)
+
+
+def h5_published_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return report(spark.table(f"{_published(spark, sf)}.forecast_metrics"), 4)

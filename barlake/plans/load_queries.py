@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlake import schemas
 from barlake.functions.text import lenient_symbol
-from barlake.operators import calendar, conform as C, dedup, features, ingest, quality, serving, upsert
+from barlake.operators import calendar, conform as C, dedup, features, increments, ingest, quality, serving, summaries
+from barlake.operators import upsert
 from barlake.plans import forecasting, given, medallion
 from barlake.plans.shape import report
 from barlake.session import fresh_folder
-from barlake.sources import prices, tables
+from barlake.sources import prices, snapshots, tables
 
 STAMP = dt.datetime(2024, 1, 31, 18, 30)
 BAR = ("source_symbol", "date", "open", "high", "low", "close", "adj_close", "volume")
@@ -79,7 +80,7 @@ def a6_fixed_tables(spark: SparkSession, sf: str) -> DataFrame:
     table = f"{_namespace(spark)}.clean_prices"
     buckets = [tables.create_clean_table(spark, table) for _ in range(2)]
     rows = tables.with_folders(medallion.clean(given.raw_prices(spark, sf)), buckets[0])
-    rows.select(spark.table(table).columns).hint("rebalance", tables.BUCKET, tables.MONTH).write.insertInto(table)
+    snapshots.commit(spark, table, snapshots.current(spark, table), rows.hint("rebalance", tables.BUCKET, tables.PERIOD), rows)
     return report(
         spark.table(table).groupBy("symbol").agg(F.count(F.lit(1)).alias("row_count"), F.max("date").alias("last_date"))
     )
@@ -98,6 +99,16 @@ def a7_clustered_write(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def a7_space_filling(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejects along a curve through issue and load date, read back."""
+    table = f"{_namespace(spark)}.curved_rejects"
+    rows = quality.rejected_rows(medallion.labelled(given.raw_prices(spark, sf)))
+    tables.space_filled(rows, ["quality_issue", "ingestion_date"], 16).write.format("parquet").saveAsTable(table)
+    return report(
+        spark.table(table).groupBy("ingestion_date", "quality_issue").agg(F.count(F.lit(1)).alias("row_count"))
+    )
+
+
 def a8_reject_append(spark: SparkSession, sf: str) -> DataFrame:
     """The same rejects appended twice; the second run adds nothing."""
     table = f"{_namespace(spark)}.rejects"
@@ -117,6 +128,30 @@ def a8_reject_append_parts(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark.table(table).groupBy("quality_issue").agg(F.count("*").alias("reject_rows")))
 
 
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries of three loads of the log; the first one is announced twice."""
+    table = f"{_namespace(spark)}.load_summaries"
+    raw = given.raw_supplier_prices(spark, sf)
+    for run in (0, 1, 2, 0):
+        part = raw.filter(F.col("ingestion_run_id") == f"run-{run}")
+        summaries.append_summary(part, f"load-{run}", table)
+    return summaries.stored(spark, table)
+
+
+def a5_start_from_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    known = given.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
+    requested = known.union(ingest.requested_symbols(spark, ["NVDA", "MSFT"]))
+    return report(summaries.start_from(requested, _summaries(spark, sf)))
+
+
+def f1_status_from_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return report(summaries.status(_summaries(spark, sf)))
+
+
+def h4_status_from_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return report(summaries.status(_summaries(spark, sf), "S7"))
+
+
 def a9_snapshot_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """A snapshot replaced by one with another layout."""
     table = f"{_namespace(spark)}.snapshot"
@@ -150,6 +185,12 @@ def a12_load_counts(spark: SparkSession, sf: str) -> DataFrame:
     return quality.load_counts(medallion.labelled(given.raw_prices(spark, sf)))
 
 
+def a12_one_pass_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of a whole load, taken on the way to its one write."""
+    names = [f"{_namespace(spark)}.{t}" for t in ("clean_prices", "rejects")]
+    return medallion.refresh_clean(given.raw_prices(spark, sf), *names)
+
+
 # --- projection, conform, predicates -------------------------------------------------------------
 
 
@@ -342,6 +383,18 @@ def e8_feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix_report(medallion.matrix_from_raw(given.raw_prices(spark, sf)))
 
 
+def e8_incremental_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix of a log that comes in three loads, each with a week of overlap; closed rows are appended."""
+    table = f"{_namespace(spark)}.features"
+    bars = medallion.daily_from_raw(given.raw_prices(spark, sf)).checkpoint()
+    state = spark.createDataFrame([], increments.STATE_DDL)
+    for since, until in (("1900-01-01", "1996-06-30"), ("1996-06-24", "1999-03-31"), ("1999-03-25", "2100-01-01")):
+        done = increments.step(state, bars.filter(F.col("date").between(F.lit(since), F.lit(until))))
+        state = done.state.checkpoint()
+        done.closed.write.mode("append").format("parquet").saveAsTable(table)
+    return _matrix_report(spark.table(table).unionByName(increments.open_rows(state)))
+
+
 def e8_feature_matrix_suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix_report(medallion.matrix_from_raw(given.raw_supplier_prices(spark, sf)))
 

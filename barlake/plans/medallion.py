@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
+from barlake import schemas
 from barlake.operators import conform as C, dedup, features, quality
 from barlake.operators.upsert import upsert_table
+from barlake.session import fresh_folder
 from barlake.sources.tables import append_rejects
 
 
@@ -41,8 +43,14 @@ def refresh_clean(
     ``since`` takes only raw rows ingested from that date on (whole folders of the log are skipped);
     as the upsert is idempotent this ends where a load of everything would.
     """
+    spark = raw.sparkSession
     fresh = raw if since is None else raw.filter(F.col("ingestion_date") >= F.lit(str(since)).cast("date"))
-    rows = labelled(fresh)
-    upsert_table(quality.valid_rows(rows), clean_table, buckets)
-    append_rejects(quality.rejected_rows(rows), reject_table)
-    return quality.load_counts(rows)
+    # The raw rows are read once: counted on their way into two folders, valid and rejected.
+    seen = Observation()
+    staged = f"{fresh_folder(spark, 'load')}/rows"
+    rows = labelled(fresh).observe(seen, *quality.counts())
+    rows.write.partitionBy("is_valid").parquet(staged)
+    stored = spark.read.schema(schemas.REJECTS).parquet(staged)
+    upsert_table(quality.valid_rows(stored), clean_table, buckets)
+    append_rejects(quality.rejected_rows(stored), reject_table)
+    return spark.createDataFrame([tuple(seen.get[n] for n in quality.COUNTS)], ", ".join(f"{n} bigint" for n in quality.COUNTS))

@@ -108,3 +108,26 @@ CROSS JOIN (VALUES ('elastic_net', 1), ('random_forest', 2), ('gradient_boosting
     "h5_publish_history": with_parts(f"SELECT {_FORECAST}, {_PUBLISHED} AS forecast_ts FROM forecast", "forecast"),
     "h5_publish_metrics": with_parts(f"SELECT {_METRICS}, {_PUBLISHED} AS loaded_ts FROM metrics", "metrics"),
 }
+
+SQL |= {f"h5_published_{part}": SQL[f"h5_publish_{part}"] for part in ("latest", "history", "metrics")}
+
+_NAMES = [
+    *[f"lag_close_{k}" for k in (1, 2, 3, 5, 10, 20)], "ret_1", "ret_5",
+    *[f"roll_{kind}_{w}" for w in (5, 10, 20, 50) for kind in ("mean", "std")], "dow", "month", "log_volume", "target",
+]
+SQL["g2_co_moments"] = with_parts(
+    " UNION ALL ".join(
+        f"SELECT symbol, segment::INTEGER AS segment, n AS row_count, '{a}' AS feature_a, '{b}' AS feature_b,"
+        f" {rd(f'mean_{a}', 4)} AS mean_a, {rd(f'corr_{a}_{b}', 6)} AS correlation FROM wide"
+        for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]
+    ),
+    "wide",
+    wide=(
+        "SELECT symbol, segment, count(*) AS n, "
+        + ", ".join(f"avg({a}) AS mean_{a}" for a in _NAMES)
+        + ", "
+        + ", ".join(f"corr({a}, {b}) AS corr_{a}_{b}" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :])
+        + " FROM blocks GROUP BY symbol, segment",
+        ("blocks",),
+    ),
+)

@@ -180,3 +180,12 @@ ON t.symbol = s.symbol""", "matrix", "train", **_RAW),
         "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn"
         " FROM matrix WHERE roll_std_50 IS NOT NULL) WHERE rn = 1", ("matrix",))),
 }
+
+SQL |= {
+    "a5_start_from_summaries": SQL["a5_incremental_start"],
+    "a7_space_filling": with_parts(
+        f"SELECT {day('ingestion_date')} AS ingestion_date, quality_issue, count(*) AS row_count FROM labelled"
+        " WHERE NOT is_valid GROUP BY 1, 2", "labelled"),
+    "a12_one_pass_load": SQL["a12_load_counts"],
+    "e8_incremental_matrix": SQL["e8_feature_matrix"],
+}

@@ -292,3 +292,8 @@ LEFT JOIN (SELECT symbol, series, arg_max(value, position) AS latest, min(value)
         f"SELECT {day('ingestion_date')} AS ingestion_date, quality_issue, count(*) AS reject_rows"
         " FROM (SELECT DISTINCT * FROM labelled WHERE NOT is_valid) r GROUP BY r.ingestion_date, quality_issue", "labelled"),
 }
+
+SQL |= {
+    "f1_status_from_summaries": SQL["f1_ingestion_status"],
+    "h4_status_from_summaries": SQL["h4_symbol_status"],
+}

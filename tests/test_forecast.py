@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlake.learners import linear, trees
-from barlake.operators import calendar, features, forecast as FC, recursion, selection, splits
+from barlake.operators import calendar, features, forecast as FC, increments, recursion, selection, splits
 from barlake.plans import forecasting
 from oracles.common import holidays as listed_holidays
 
@@ -194,6 +194,48 @@ def test_recursion_starts_from_the_newest_complete_bar(spark, back, column, valu
     np.testing.assert_allclose(path.preds, expected, rtol=1e-9)
 
 
+def test_matrix_by_loads_equals_the_whole_one(spark):
+    """Loads of unequal length, corrections inside the overlap, a symbol that joins late, an empty load."""
+    frames = [price_frame("A", 200, 1, 90), price_frame("B", 70, 2), price_frame("C", 130, 3)]
+    frames[2]["date"] = [d + dt.timedelta(75) for d in frames[2]["date"]]
+    whole = pd.concat(frames, ignore_index=True)
+    wrong = whole.assign(close=whole["close"] + 1, adj_close=whole["adj_close"] + 1)
+    state, closed, since = spark.createDataFrame([], increments.STATE_DDL), [], START
+    for days in (30, 95, 96, 97, 160, 160, 300):
+        until = START + dt.timedelta(days)
+        # The newest bar of a load is wrong at first; the next load brings it again, corrected.
+        part = pd.concat([whole[(whole.date >= since) & (whole.date < until)], wrong[wrong.date == until]])
+        done = increments.step(state, daily(spark, part))
+        assert done.late.count() == 0
+        closed += done.closed.collect()
+        state, since = done.state.checkpoint(), until - dt.timedelta(6)
+    assert state.groupBy("symbol").count().agg(F.max("count")).first()[0] <= increments.DEPTH + 8
+    rows = closed + increments.open_rows(state).select(done.closed.columns).collect()
+    names = done.closed.columns
+    want = features.feature_matrix(daily(spark, whole)).select(names).collect()
+    key = lambda r: (r.symbol, r.date)
+    assert sorted(rows, key=key) == sorted(want, key=key)
+    late = increments.step(state, daily(spark, frames[0][:5]))
+    assert late.late.count() == 5 and late.closed.count() == 0
+
+
+def test_co_moments_merge_like_one_pass(spark):
+    """Stored sums plus those of new bars are the sums of all bars, also at high price levels."""
+    frames = [price_frame(s, 200, i) for i, s in enumerate("AB")]
+    frames[1][["close", "adj_close"]] += 1e7
+    rows = features.training_rows(features.feature_matrix(daily(spark, *frames)))
+    cut = F.col("date") < F.lit(START + dt.timedelta(120))
+    parts = linear.co_moments(rows.where(cut), "symbol").unionByName(linear.co_moments(rows.where(~cut), "symbol"))
+    got = {r.symbol: r for r in linear.merge_moments(parts, "symbol").collect()}
+    for symbol, part in rows.toPandas().groupby("symbol"):
+        x = part[[*features.FEATURES, "target"]].to_numpy(float)
+        upper = np.triu_indices(x.shape[1])
+        np.testing.assert_allclose(got[symbol].mean, x.mean(axis=0), rtol=1e-12)
+        scale = np.sqrt(np.outer(x.var(axis=0), x.var(axis=0)))[upper] * len(x) + 1e-9
+        off = (np.array(got[symbol].moment) - (np.cov(x.T, ddof=0) * len(x))[upper]) / scale
+        assert got[symbol].n == len(x) and np.abs(off).max() < 1e-6
+
+
 def test_price_floor(spark):
     states = recursion.start_states(daily(spark, price_frame("A", 320)), calendar.holidays(spark, 1990, 2060), 3)
     fits = spark.createDataFrame([("A", "m", -5.0, [0.0] * 19)], "symbol string, model string, intercept double, coef array<double>")

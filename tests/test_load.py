@@ -9,9 +9,9 @@ from pyspark.sql import Row, functions as F
 
 from barlake import schemas
 from barlake.functions.text import canonical_symbol, is_symbol, lenient_symbol, plain_header
-from barlake.operators import conform, dedup, ingest, quality, upsert
+from barlake.operators import conform, dedup, ingest, quality, serving, summaries, upsert
 from barlake.plans import medallion
-from barlake.sources import prices, tables
+from barlake.sources import prices, snapshots, tables
 
 T0 = dt.datetime(2024, 1, 2, 10)
 
@@ -106,20 +106,152 @@ def test_upsert_table_is_idempotent_and_leaves_others(spark, namespace, buckets)
         upsert.upsert_table(fresh, table, 5)
 
 
-def test_a_new_week_leaves_older_months_alone(spark, namespace):
+def files_of(spark, table, year):
+    """Which commit wrote the files of each bucket of a year that a reader of the table sees."""
+    live = snapshots.live_folders(spark, table, snapshots.current(spark, table))
+    return {tuple(r) for r in live.filter(F.year("bar_year") == year).select("commit_id", "symbol_bucket").collect()}
+
+
+def test_a_new_week_leaves_older_years_alone(spark, namespace):
     table = f"{namespace}.clean"
     old = [clean_row(s, date=dt.date(2023, m, 5)) for s in "ABCDEFGH" for m in (10, 11, 12)]
     upsert.upsert_table(clean(spark, *old, *[clean_row(s) for s in "ABCDEFGH"]), table, 3)
-    before = {f for f in spark.table(table).inputFiles() if "bar_month=2023" in f}
+    before = files_of(spark, table, 2023)
     week = clean(spark, *[clean_row(s, day, close=50.0, ts=LATER) for s in "ABCDEFGH" for day in range(1, 6)])
     upsert.upsert_table(week, table)
-    assert len(before) == 3 * len({f.split("symbol_bucket=")[1][0] for f in before})
-    assert before == {f for f in spark.table(table).inputFiles() if "bar_month=2023" in f}
+    assert before and before == files_of(spark, table, 2023)
     assert spark.table(table).count() == 24 + 40 and spark.table(table).filter("close = 50").count() == 40
     upsert.upsert_table(week.limit(0), table)
     assert spark.table(table).count() == 64
 
 
+def test_buckets_follow_from_the_first_load(spark, namespace, monkeypatch):
+    """A wide first load makes several buckets; one new bar then rewrites the files of one of them."""
+    monkeypatch.setattr(tables, "FILE_BYTES", 10 * tables.BAR_BYTES)
+    table = f"{namespace}.clean"
+    upsert.upsert_table(clean(spark, *[clean_row(f"S{i}") for i in range(60)]), table)
+    assert tables.create_clean_table(spark, table) == 6
+    before = files_of(spark, table, 2024)
+    upsert.upsert_table(clean(spark, clean_row("S1", day=2, close=50.0)), table)
+    after = files_of(spark, table, 2024)
+    assert len(before - after) == 1 and spark.table(table).count() == 61
+    assert [tables.buckets_for(n) for n in (0, 10, 11, 100)] == [1, 1, 2, 10]
+
+
+@pytest.mark.parametrize("step", ["insert_files", "insert_list", "point", "show"])
+def test_a_job_that_ends_inside_a_commit_leaves_a_whole_table(spark, namespace, monkeypatch, step):
+    """Ended between any two steps: readers see the old rows; the next load ends where it should."""
+    table = f"{namespace}.clean"
+    old = clean(spark, *[clean_row(s, day, close=1.0) for s in "AB" for day in (1, 2)])
+    upsert.upsert_table(old, table)
+    fresh = clean(spark, clean_row("A", close=2.0, ts=LATER), clean_row("C", close=3.0))
+    target = {"point": (snapshots, "_point"), "show": (snapshots, "_show")}.get(step, (type(spark.range(1).write), "insertInto"))
+    real, calls = getattr(*target), []
+
+    def dying(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == (2 if step == "insert_list" else 1):
+            raise KeyboardInterrupt(step)
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(*target, dying)
+        with pytest.raises(KeyboardInterrupt):
+            upsert.upsert_table(fresh, table)
+    before = [("A", 1.0), ("A", 1.0), ("B", 1.0), ("B", 1.0)]
+    done = sorted([("A", 2.0), ("A", 1.0), ("B", 1.0), ("B", 1.0), ("C", 3.0)])
+    spark.catalog.refreshTable(table)
+    assert values(spark.table(table), "symbol", "close") == before
+    # With the version file made the commit stands, and the view is mended.
+    committed = step == "show"
+    assert snapshots.repair(spark, table).number == (2 if committed else 1)
+    assert values(spark.table(table), "symbol", "close") == (done if committed else before)
+    upsert.upsert_table(fresh, table)
+    assert values(spark.table(table), "symbol", "close") == done
+    snapshots.vacuum(spark, table)
+    assert values(spark.table(table), "symbol", "close") == done
+
+
+def test_of_two_writers_the_later_one_fails(spark, namespace):
+    table = f"{namespace}.clean"
+    upsert.upsert_table(clean(spark, clean_row("A")), table)
+    base = snapshots.current(spark, table)
+    upsert.upsert_table(clean(spark, clean_row("B")), table)
+    rows = tables.with_folders(clean(spark, clean_row("C")), 1)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, table, base, rows, rows)
+    with pytest.raises(snapshots.Conflict):
+        snapshots._point(spark, table, snapshots.Version(2, "late"))
+    assert values(spark.table(table), "symbol") == [("A",), ("B",)]
+    assert len(snapshots.vacuum(spark, table)) >= 1 and spark.table(table).count() == 2
+
+
+def test_reject_append_opens_the_folders_of_its_own_months(spark, namespace):
+    table = f"{namespace}.rejects"
+    made = lambda *days: quality.rejected_rows(
+        quality.label_quality(clean(spark, *[clean_row(open=None, ingestion_date=d) for d in days]))
+    )
+    months = [dt.date(2024, m, 3) for m in (1, 2, 3)]
+    tables.append_rejects(made(*months, None), table)
+    rows = tables.with_digest(made(months[1], months[1]))
+    beside = tables.stored_beside(rows, spark.table(table))
+    assert {r[0] for r in beside.select("load_month").collect()} == {dt.date(2024, 2, 1)}
+    scan = beside._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_month" in scan and "2024-02-01" in scan
+    for again in (made(months[1], None, None), made(*months)):
+        tables.append_rejects(again, table)
+        assert spark.table(table).count() == 4
+    tables.append_rejects(made(dt.date(2024, 2, 4)), table)
+    assert spark.table(table).count() == 5
+
+
+def test_a_load_reads_the_raw_rows_once(spark, namespace):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    raw = clean(spark, clean_row(), clean_row(day=2, open=None), clean_row(day=3)).withColumnRenamed("symbol", "source_symbol")
+    counts = medallion.refresh_clean(raw.mapInArrow(watched, raw.schema), f"{namespace}.clean", f"{namespace}.rejects").first()
+    assert counts == Row(total_rows=3, valid_rows=2, rejected_rows=1) and seen.value == 3
+
+
+def test_space_filling_files_skip_by_either_column(spark, tmp_path):
+    """A filter on one column alone meets few files, for each column; a hot value is spread over several."""
+    rows = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("issue"), F.col("id") % 40)).alias("issue"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7919 % 1000).cast("int")).alias("day"), "id",
+    )
+    tables.space_filled(rows, ["issue", "day"], 16).write.parquet(f"{tmp_path}/curve")
+    stored = spark.read.parquet(f"{tmp_path}/curve").withColumn("file", F.input_file_name())
+    assert stored.count() == 20000 and stored.select("id").distinct().count() == 20000
+    ranges = stored.groupBy("file").agg(F.min("issue").alias("i0"), F.max("issue").alias("i1"), F.min("day").alias("d0"), F.max("day").alias("d1"))
+    listed = ranges.collect()
+    meets = lambda lo, hi, v: sum(r[lo] <= v <= r[hi] for r in listed)
+    assert len(listed) == 16
+    days = [meets("d0", "d1", dt.date(2020, 1, 1) + dt.timedelta(d)) for d in range(0, 1000, 50)]
+    issues = [meets("i0", "i1", f"issue{i}") for i in range(40)]
+    assert sum(days) / len(days) <= 9 and sum(issues) / len(issues) <= 9, (days, issues)
+    assert stored.filter("issue = 'hot'").select("file").distinct().count() >= 4
+    empty = tables.space_filled(rows.limit(0), ["issue", "day"], 4)
+    assert empty.count() == 0
+
+
+def test_summaries_merge_like_one_read_of_the_log(spark, namespace):
+    rows = [clean_row(s, day, ts=t) for s in ("A", "B") for day, t in ((1, T0), (2, LATER), (2, T0))]
+    rows += [clean_row("A", date=dt.date(1961, 5, 4)), clean_row("A", date=dt.date(1970, 1, 1)), clean_row(None), clean_row("N", date=None)]
+    log = clean(spark, *rows).withColumnRenamed("symbol", "source_symbol").withColumn("date", F.col("date").cast("timestamp"))
+    table = f"{namespace}.summaries"
+    for k in (0, 1, 0):
+        summaries.append_summary(log.filter(F.hash("date", "ingestion_ts") % 2 == k), f"load-{k}", table)
+    got = summaries.status(summaries.stored(spark, table))
+    plain = serving.ingestion_status(log.filter(F.hash("date", "ingestion_ts") % 2 >= 0))
+    names = plain.columns
+    assert values(got, *names) == values(plain, *names)
+
+
 def test_empty_symbol_keeps_its_history(spark, namespace):
     table = f"{namespace}.clean_prices"
     for day in (2, 3):
