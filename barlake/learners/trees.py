@@ -43,7 +43,7 @@ SEED = 42
 
 # Trees of a forest in one work item at least, so that sorting the columns once pays off.
 LEAST_BATCH = 10
-ITEMS_PER_CORE = 4
+ITEMS_PER_CORE = 16
 
 MODEL_SCHEMA = (
     "symbol string, model string, fit int, batch int, base double, share double, roots array<int>,"
