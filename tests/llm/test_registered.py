@@ -51,7 +51,7 @@ def test_same_rows(spark, name):
 
 def test_names():
     have = sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in registry.QUERIES if n != "pipeline")
-    assert have == list(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert have == list(range(1, 14)) and "pipeline" in registry.QUERIES
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "byte_level_bpe",
     ]
