@@ -24,7 +24,11 @@ ROWS = 3
 GROUP = 4096
 SEED = 42
 
+# Lines with at least this many blanks are also looked at sentence by sentence.
+LONG = 60
+
 _LINES = re.compile(rb"[^\r\n]+")
+_SENTENCE_ENDS = re.compile(rb"[.!?](?:[\x20\x09]|$)")
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -40,6 +44,28 @@ def paragraphs(text: bytes | None) -> list[tuple[int, int, list[bytes]]]:
     return found
 
 
+def sentences(text: bytes | None) -> list[tuple[int, int, tuple[int, int]]]:
+    """Start, end and a 128-bit hash of the words of the sentences of long lines, each of at least five words.
+
+    A sentence ends behind . ! or ? before white space, whatever stands around it, so a passage that was copied into
+    another line falls into the same sentences there. The blank behind a sentence belongs to it.
+    """
+    found = []
+    for line in _LINES.finditer(text or b""):
+        raw = line.group()
+        if raw.count(b" ") < LONG:
+            continue
+        at = 0
+        for end in [*(m.end() for m in _SENTENCE_ENDS.finditer(raw)), len(raw)]:
+            words = raw[at:end].translate(ASCII_LOWER).split()
+            if len(words) >= SHINGLE:
+                key = xxhash.xxh3_128_intdigest(b" ".join(words), SEED)
+                halves = (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
+                found.append((line.start() + at, line.start() + end, halves))
+            at = end
+    return found
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles."""
     joined, at, starts = b" ".join(words), 0, []
@@ -247,25 +273,63 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return listed, scratch.table(rooted.select("pid", "root").join(grouped, "root").drop("members"), "classes")
 
 
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, ids = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
+        rows = [
+            (key, doc_id, idx, *halves)
+            for key, doc_id, text in zip(keys, ids, binary_list(batch.column("text")), strict=True)
+            for idx, (_, _, halves) in enumerate(sentences(text))
+        ]
+        if rows:
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "idx", "h", "g"])
+
+
+def repeated_sentences(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``row_key, sentences, first_in``: sentences of long lines that a document with a smaller id holds word for word.
+
+    Null ids come after all others. Judged on the texts as given, not on what is left of them.
+    """
+    schema = "row_key bigint, doc_id bigint, idx int, h bigint, g bigint"
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    listed = docs.select("row_key", "doc_id", "text").mapInArrow(_sentence_rows, schema).withColumn("place", place)
+    listed = scratch.table(listed.drop("doc_id"), "sentences")
+    known = listed.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    known = known.where("first < last").drop("last")
+    again = listed.join(known, ["h", "g"]).where(F.col("place") > F.col("first"))
+    return again.groupBy("row_key").agg(F.collect_set("idx").alias("sentences"), F.collect_set("first").alias("first_in"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "gone", "kept_in")]
-        for doc_id, gone, kept_in, text in zip(*columns, binary_list(batch.column("text")), strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "gone", "kept_in", "sentences", "first_in")]
+        for doc_id, gone, kept_in, again, first_in, text in zip(*columns, binary_list(batch.column("text")), strict=True):
             raw, own = text or b"", paragraphs(text)
-            parts, at, removed, spans, last = [], 0, 0, 0, None
-            for idx in sorted(gone or []):
+            cuts = []
+            for idx in gone or []:
                 start, end, _ = own[idx]
                 # The line break behind a paragraph goes with it.
-                end += len(re.match(rb"\r?\n?", raw[end : end + 2]).group())
+                cuts.append((start, end + len(re.match(rb"\r?\n?", raw[end : end + 2]).group())))
+            if again:
+                listed = sentences(text)
+                cuts += [listed[idx][:2] for idx in again]
+            parts, at, removed, spans = [], 0, 0, 0
+            for start, end in sorted(cuts):
+                if end <= at:
+                    continue
                 parts.append(raw[at:start])
-                spans += last != start
-                removed, at, last = removed + end - start, end, end
+                spans += start > at or not removed
+                removed += end - max(start, at)
+                at = end
             parts.append(raw[at:])
             kept = b"".join(parts)
+            kept_ids = sorted({*(kept_in or []), *(first_in or [])})
             rows.append(
                 (doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), len(own), len(gone or []),
-                 sorted(kept_in or []), kept.decode("utf-8", "ignore"))
+                 kept_ids, kept.decode("utf-8", "ignore"))
             )
         if not rows:
             continue
@@ -287,8 +351,9 @@ def remove_near_duplicates(docs: DataFrame) -> DataFrame:
 
     A paragraph is a line of at least five words; shorter lines stay. Paragraphs link at a Jaccard similarity of 0.8
     or more of their five-word shingles (lower-case A-Z, words between ASCII white space); of each component the first
-    by doc_id (null last), then by place, stays. ``kept_in`` lists the documents that keep the removed paragraphs'
-    classes. Null texts are empty. Repeated rows are treated alike: both keep what the first of them keeps. Other
+    by doc_id (null last), then by place, stays. Of lines with 60 blanks or more, sentences of at least five words that
+    a document with a smaller id holds word for word in such a line go too, as given, so a passage that was copied into
+    another line is found. ``kept_in`` lists the documents that keep the removed paragraphs' classes and sentences. Null texts are empty. Repeated rows are treated alike: both keep what the first of them keeps. Other
     columns do not matter. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -301,7 +366,7 @@ def remove_near_duplicates(docs: DataFrame) -> DataFrame:
         gone = gone.groupBy("row_key").agg(
             F.collect_set("idx").alias("gone"), F.collect_set("kept.doc_id").alias("kept_in")
         )
-        gone = scratch.table(gone, "gone")
+        gone = scratch.table(gone.join(repeated_sentences(keyed, scratch), "row_key", "full_outer"), "gone")
     return keyed.join(gone, "row_key", "left").mapInArrow(_cut, _CUT)
 
 

@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 
@@ -99,8 +100,6 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_bpe(spark, texts):
-    import public_tokenizers
-
     own = bpe.encoding(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
     for d, r in rows_of(spark, "op6_byte_level_bpe").items():
         ids = own.encode_ordinary(texts[d])
@@ -109,18 +108,44 @@ def test_bpe(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(texts[d].encode()).hexdigest()
 
 
-def test_suffixes(spark, texts):
+def plain_repeats(texts):
+    """Per document the bytes that repeat a document with a smaller id, and what is left."""
     seen: dict[bytes, int] = {}
-    found = rows_of(spark, "op8_suffix_array_dedup")
     for d in sorted(texts):
-        raw = texts[d].encode()
+        raw = (texts[d] or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - 49):
             if seen.setdefault(raw[p : p + 50], d) < d:
                 gone[p : p + 50] = b"\1" * 50
-        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        yield d, gone, bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+
+
+def test_suffixes(spark, texts):
+    found = rows_of(spark, "op8_suffix_array_dedup")
+    for d, gone, kept in plain_repeats(texts):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        assert tuple(found[d]) == (d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        assert tuple(found[d]) == (d, len(gone), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
+def plain_contaminated(texts, items):
+    """Documents of which benchmark windows of 13 words (or whole shorter items) hit a twentieth of the words."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold))
+    windows = set()
+    for item in items:
+        w = words(item)
+        windows |= {tuple(w[i : i + 13]) for i in range(max(len(w) - 12, 1))} if w else set()
+    sizes, out = {len(w) for w in windows}, set()
+    for d, text in texts.items():
+        w = words(text)
+        hit = bytearray(len(w))
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit[i : i + n] = b"\1" * n
+        if sum(hit) and 20 * sum(hit) >= len(w):
+            out.add(d)
+    return out
 
 
 def plain_fingerprint(text: str) -> int:
@@ -157,7 +182,42 @@ def test_pipeline_takes_effect(spark, tmp_path):
             fps = [plain_fingerprint(before_rows[d]) for d in ids]
             links = [(i, j) for j in range(len(ids)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3]
             assert after_ids == {ids[r] for r in roots(len(ids), links)}
-        if name in ("suffix_array_dedup", "byte_level_bpe"):
-            assert after_ids == set(before_rows)
+        if name == "suffix_array_dedup":
+            left = {d: kept.decode("utf-8", "ignore") for d, _, kept in plain_repeats(before_rows)}
+            assert {r.doc_id: r.text for r in after.select("doc_id", "text").collect()} == left
+        if name == "benchmark_decontamination":
+            items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
+            assert after_ids == set(before_rows) - plain_contaminated(before_rows, items)
+            assert {r.doc_id: r.text for r in after.select("doc_id", "text").collect()} == {d: before_rows[d] for d in after_ids}
+        if name == "byte_level_bpe":
+            own = bpe.encoding(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+            digest = lambda raw: hashlib.sha256(raw).hexdigest()
+            want = set()
+            for d, text in before_rows.items():
+                ids = own.encode_ordinary(text or "")
+                want.add((d, len(ids), digest(np.array(ids, "<u4").tobytes()), digest((text or "").encode())))
+            assert {tuple(r) for r in after.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == want
         docs = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, null ids and more columns pass all stages; empty tables give none."""
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, unit string, score double"
+    long = "fair weather and calm seas are with all who sail today along the coast "
+    rows = [(1, None, None, None, None, None, None), (2, "", "en", "s", 0, "u", 1.0), (None, None, None, None, None, None, None)]
+    rows += [(3, long * 3, "en", "s", 1, "u", 0.5)] * 2 + [(4, long * 2000, None, None, 1, None, None)]
+    folder = f"{tmp_path}/sf"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    for k, table in enumerate((rows, [])):
+        docs = spark.createDataFrame(table, kind)
+        for j, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}-{j}")
+            after = spark.read.parquet(f"{tmp_path}/{k}-{j}")
+            if name != "byte_level_bpe":
+                assert after.columns == docs.columns
+            docs = after
+        # Of the empty rows and of the equal texts one each stays (their fingerprints agree).
+        left = [r.doc_id for r in docs.collect()]
+        assert set(left) <= {1, 2, 3, 4, None} and (2 <= len(left) <= 3 if table else not left)
