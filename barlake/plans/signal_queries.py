@@ -13,6 +13,7 @@ from barlake.plans import given
 from barlake.plans.load_queries import _namespace
 from barlake.plans.shape import report
 from barlake.session import fresh_folder
+from barlake.streaming.keyed_stream import keyed_upsert_stream
 from barlake.streaming.upsert_stream import upsert_stream
 
 NOW = dt.datetime(2024, 1, 31, 0, 0)
@@ -253,6 +254,18 @@ def l1_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark.table(clean).select(schemas.CLEAN.names))
 
 
+def l1_keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same stream with the newest version of each key as state; rows later than the overlap are settled in the table."""
+    raw = given.raw_prices(spark, sf)
+    folder = fresh_folder(spark, "raw")
+    raw.hint("rebalance", "ingestion_run_id").write.partitionBy("ingestion_run_id").parquet(folder)
+    names = _namespace(spark)
+    clean, rejects = f"{names}.clean_prices", f"{names}.rejects"
+    checkpoint = fresh_folder(spark, "stream")
+    keyed_upsert_stream(spark, folder, raw.schema, clean, rejects, checkpoint, files_per_batch=1).awaitTermination()
+    return report(spark.table(clean).select(schemas.CLEAN.names))
+
+
 def l1_stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """The rejects the same stream has stored, counted by day and issue."""
     raw = given.raw_prices(spark, sf)

@@ -296,4 +296,5 @@ LEFT JOIN (SELECT symbol, series, arg_max(value, position) AS latest, min(value)
 SQL |= {
     "f1_status_from_summaries": SQL["f1_ingestion_status"],
     "h4_status_from_summaries": SQL["h4_symbol_status"],
+    "l1_keyed_stream": SQL["l1_upsert_stream"],
 }

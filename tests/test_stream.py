@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from barlake import schemas
 from barlake.operators import quality
 from barlake.plans import given, medallion
 from barlake.session import fresh_folder
+from barlake.streaming.keyed_stream import OVERLAP, keyed_upsert_stream
 from barlake.streaming.upsert_stream import upsert_stream
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +52,35 @@ def test_stream_equals_batch(spark, namespace):
     again.awaitTermination()
     assert rows(timed(stored(spark, names[0]))) == rows(timed(medallion.clean(raw)))
     assert stored(spark, names[1]).count() == known
+
+
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_keyed_stream_equals_batch_in_any_order_of_files(spark, namespace, newest_first):
+    raw = given.raw_prices(spark, SF).filter("source_symbol IN ('AF', 'RF', '')").checkpoint()
+    newest = raw.agg(F.max("ingestion_ts")).first()[0]
+    # Files by ingestion time; null times come with the first.
+    cuts = raw.selectExpr("percentile(unix_millis(ingestion_ts), array(0.34, 0.67))").first()[0]
+    part = F.when(F.unix_millis("ingestion_ts") > cuts[1], 2).when(F.unix_millis("ingestion_ts") > cuts[0], 1).otherwise(0)
+    folder, late = fresh_folder(spark, "raw"), fresh_folder(spark, "late")
+    for n in (2, 1, 0) if newest_first else (0, 1, 2):
+        raw.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by their time of change
+    names = f"{namespace}.clean", f"{namespace}.rejects"
+    stream = keyed_upsert_stream(spark, folder, raw.schema, *names, fresh_folder(spark, "stream"), late, 1)
+    stream.awaitTermination()
+    assert stream.exception() is None
+    assert rows(stored(spark, names[0])) == rows(medallion.clean(raw))
+    assert stored(spark, names[1]).count() == quality.rejected_rows(medallion.labelled(raw)).distinct().count()
+
+    # The state ends with the keys of the overlap, the rest went with the watermark.
+    held = stream.lastProgress.stateOperators[0].numRowsTotal
+    inside = medallion.clean(raw).filter(F.col("ingestion_ts") > F.lit(newest) - F.expr(f"INTERVAL {OVERLAP}")).count()
+    assert held == inside < medallion.clean(raw).count() / 10
+
+    # Late: below the watermark of the rows seen before. In order, only rows without a time are.
+    outcome = spark.read.schema(schemas.CLEAN).parquet(late)
+    if newest_first:
+        assert outcome.filter("ingestion_ts IS NOT NULL").count() > 0
+        assert outcome.agg(F.max("ingestion_ts")).first()[0] <= newest
+    else:
+        assert outcome.filter("ingestion_ts IS NOT NULL").count() == 0
