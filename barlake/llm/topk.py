@@ -20,8 +20,9 @@ QUERY_BLOCK = 512
 LIST_DIMS = 16
 
 _BLOCK = "block bigint, dims int, ids binary, values binary"
-# Sums of products up to this size are exact in doubles.
-_EXACT = float(1 << 53)
+# Below these sizes sums of integer products are exact in single and in double precision.
+_SINGLE = 1 << 24
+_DOUBLE = 1 << 53
 # The cutoff of a query with fewer than k candidates: every entry is sufficient.
 _OPEN = np.iinfo(np.int64).min
 
@@ -75,12 +76,36 @@ def blocks(vectors: DataFrame, size: int, scratch: Scratch, name: str) -> DataFr
     return scratch.table(vectors.mapInArrow(run, _BLOCK), name)
 
 
-def _exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products: in doubles where no sum can leave their exact range, else in 64-bit integers."""
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer products, in the narrowest type in which no sum can leave the exact range."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if top < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    kind = np.float32 if top < _SINGLE else np.float64 if top < _DOUBLE else np.int64
+    return a.astype(kind) @ b.astype(kind).T
+
+
+def _exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _product(a, b).astype(np.int64)
+
+
+def sufficient(q: np.ndarray, v: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Phase 2: the candidates (vectors by query) that entries at or above the uniform threshold leave open.
+
+    The threshold is cutoff / lists, rounded down. Of each list only entries that reach it count; any other entry is at
+    most one less than the threshold, and without a sufficient entry the sum of these stays below the cutoff. A vector
+    whose sufficient entries and these bounds cannot reach the cutoff is out. No whole score is worked out here.
+    """
+    starts = range(0, max(q.shape[1], 1), LIST_DIMS)
+    wide = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(q.shape[1], 1) >= _DOUBLE
+    open_ = cut == _OPEN
+    below = np.where(open_, 0, cut) // len(starts) - 1
+    bound = np.zeros((len(q), len(v)), np.int64 if wide else np.float64)
+    for at in starts:
+        part = _product(q[:, at : at + LIST_DIMS], v[:, at : at + LIST_DIMS])
+        # Entries lie strictly inside the exact range of their type, so cutting the bound to it changes nothing.
+        limit = {"f4": _SINGLE, "f8": _DOUBLE}.get(part.dtype.str[1:])
+        floor = below if limit is None else below.clip(-limit, limit).astype(part.dtype)
+        bound += np.maximum(part, floor[:, None]).astype(bound.dtype, copy=False)
+    return (bound >= np.where(open_, 0, cut)[:, None]) | open_[:, None]
 
 
 def _matrix(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +143,7 @@ def _lists(k: int):
             seen = np.zeros((len(qid), len(vid)), bool)
             take = min(k + 1, len(vid))
             for at in range(0, max(row["dims"], 1), LIST_DIMS):
-                part = _exact_product(q[:, at : at + LIST_DIMS], v[:, at : at + LIST_DIMS])
+                part = _product(q[:, at : at + LIST_DIMS], v[:, at : at + LIST_DIMS])
                 best = np.argpartition(part, len(vid) - take, axis=1)[:, len(vid) - take :]
                 np.put_along_axis(seen, best, True, axis=1)
             out = [], [], []
@@ -135,11 +160,7 @@ def _lists(k: int):
 
 
 def _resolved(k: int):
-    """Phases 2 and 3: entries of which a list reaches the uniform threshold, resolved exactly against the cutoff.
-
-    A vector that reaches the cutoff scores at least cutoff / lists in one of the lists. Bounds of the other lists drop
-    entries that cannot reach it any more; what is left gets its whole score.
-    """
+    """Phases 2 and 3: whole scores of the candidates that ``sufficient`` leaves, and of no others."""
 
     def run(batches):
         for row in _pairs(batches):
@@ -147,29 +168,15 @@ def _resolved(k: int):
             vid, v = _matrix(row, "")
             known = {c["query_id"]: c["cutoff"] for c in row["cutoffs"] or []}
             cut = np.array([known.get(i, _OPEN) for i in qid.tolist()], dtype=np.int64)
-            starts = list(range(0, max(row["dims"], 1), LIST_DIMS))
-            parts = [_exact_product(q[:, a : a + LIST_DIMS], v[:, a : a + LIST_DIMS]) for a in starts]
-            open_ = cut == _OPEN
-            # cut // n rounds down, so the threshold never exceeds cutoff / lists.
-            threshold = cut // len(parts)
-            reached = np.zeros(parts[0].shape, bool)
-            for part in parts:
-                reached |= part >= threshold[:, None]
-            reached |= open_[:, None]
-            bounds = [part.max(axis=1) for part in parts]
-            total = np.zeros(parts[0].shape, np.int64)
-            left = sum(bounds[1:], np.zeros(len(qid), np.int64))
-            for i, part in enumerate(parts):
-                total += part
-                reached &= (total + left[:, None] >= cut[:, None]) | open_[:, None]
-                left = left - bounds[i + 1] if i + 1 < len(parts) else left
+            candidates = sufficient(q, v, cut)
             out = [], [], []
             for i in range(len(qid)):
-                own = np.flatnonzero(reached[i] & (vid != qid[i]))
-                best = _order(total[i][own], vid[own], k)
+                own = np.flatnonzero(candidates[i] & (vid != qid[i]))
+                scores = _exact_product(q[i : i + 1], v[own])[0]
+                best = _order(scores, vid[own], k)
                 out[0].append(np.full(len(best), qid[i]))
                 out[1].append(vid[own][best])
-                out[2].append(total[i][own][best])
+                out[2].append(scores[best])
             yield _hit_batch(*out)
 
     return run
@@ -185,7 +192,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both frames have ``vec_id, embedding``; a query is not compared with rows of its own id. Vectors of other lengths
     than the query's, with a null id, or null or non-finite components take no part. Repeated rows are compared once
-    each among the vectors and once as a query. Fewer than k candidates give them all; no rows give no rows.
+    each among the vectors and once as a query; of query rows with one id and different vectors the smallest vector (in the
+    order of arrays) asks. Other columns do not matter. Fewer than k candidates give them all; no rows give no rows.
 
     Every pair of a block of queries and a block of vectors of the same length is one row, joined on the pair, so work
     spreads over pairs. A pair keeps at most k entries of a query, enough for the exact result even if all scores tie.
@@ -195,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = integer_vectors(vectors).repartition(F.xxhash64("vec_id", "v") % F.lit(1 << 20))
     own = blocks(whole, VECTOR_BLOCK, scratch, "vectors")
-    asked = integer_vectors(queries).dropDuplicates(["vec_id"]).coalesce(max(1, parallel // 4))
+    asked = integer_vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v")).coalesce(max(1, parallel // 4))
     asked = blocks(asked, QUERY_BLOCK, scratch, "queries")
     names = {"block": "q_block", "ids": "q_ids", "values": "q_values"}
     asked = asked.withColumnsRenamed(names)
