@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 import tiktoken.registry
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import read_table
+from barlake.llm.shared import read_table, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Characters after which the next safe boundary is taken.
@@ -80,15 +81,33 @@ def decoded(ids: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     return run(ids)
 
 
+def both_ways(
+    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """``doc_id``, ``ids`` (binary, little-endian uint32) and ``raw`` (the ids decoded again) for every row of ``docs``.
+
+    One Python worker a task does both: ``encoded`` and ``decoded`` in one query run two, each with its own batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = [encode_text(t, path, pattern) for t in part.column("text").to_pylist()]
+                raw = [decode_ids(i, path, pattern) for i in ids]
+                columns = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "raw"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, raw binary")
+
+
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs``; other columns do not matter.
 
     Null and empty texts have no ids. Repeated rows and null ids keep their own output row. Long texts are cut at
-    safe boundaries, so memory holds one text and its ids.
+    safe boundaries, so memory holds few texts and their ids.
     """
-    ids = docs.select(F.col(doc_id).alias("doc_id"), encoded(F.col(text), path).alias("ids"))
-    both = ids.withColumn("raw", decoded(F.col("ids"), path))
-    return both.select(
+    return both_ways(docs, path, doc_id, text).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

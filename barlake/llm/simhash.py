@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm.components import components
-from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, free_name, read_table, text_blocks
+from barlake.llm.shared import ASCII_LOWER, Scratch, binary_list, free_name, read_table, slices, text_blocks
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -58,8 +58,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t) for t in binary_list(batch.column(text))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [fps], names=[*kept, "fp"])
+            for part in slices(batch, text):
+                fps = pa.array([fingerprint(t) for t in binary_list(part.column(text))], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [fps], names=[*kept, "fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
     return docs.mapInArrow(run, f"{fields}, fp bigint")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import Scratch, binary_list, read_table, shuffles_freed
+from barlake.llm.shared import Scratch, binary_list, read_table, shuffles_freed, slices
 
 DEPTH = 50
 PERIOD = 31
@@ -165,28 +165,22 @@ def pack_units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = binary_list(batch.column(text))
-            sizes = [len(t) if t else 0 for t in texts]
-            ids = batch.column(doc_id).cast(pa.int64()).fill_null(_LAST).to_numpy()
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + sizes[stop] <= UNIT_BYTES):
-                    size += sizes[stop]
-                    stop += 1
+            for piece in slices(batch, text, UNIT_BYTES):
+                texts = [t or b"" for t in binary_list(piece.column(text))]
+                ids = piece.column(doc_id).cast(pa.int64()).fill_null(_LAST).to_numpy()
+                kept = piece.select(rest)
                 sink = pa.BufferOutputStream()
-                piece = batch.slice(start, stop - start).select(rest)
-                with pa.ipc.new_stream(sink, piece.schema) as out:
-                    out.write_batch(piece)
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_batch(kept)
                 row = (
                     (part << 32) + seq,
-                    b"".join(t or b"" for t in texts[start:stop]),
-                    ids[start:stop].tobytes(),
-                    np.cumsum(sizes[start:stop], dtype=np.int64).tobytes(),
+                    b"".join(texts),
+                    ids.tobytes(),
+                    np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(),
                     sink.getvalue().to_pybytes(),
                 )
                 yield _batch(schema, [row])
-                start, seq = stop, seq + 1
+                seq += 1
 
     return docs.mapInArrow(run, "unit bigint, data binary, ids binary, ends binary, rest binary")
 
