@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +106,24 @@ def _known_pattern(known: dict[str, str]) -> str:
     return f"(?<![^\n%&]){_MARKER}({each})(?![^\n%&])"
 
 
+def _anchors(known: dict[str, str]) -> list[str]:
+    """Strings of which every known sentence holds one at least: of its words of 7 letters or more (else its longest),
+    again and again the one that most of the remaining sentences hold. Short words stand in most texts."""
+    rest, chosen = [s for s in known if s], []
+    while rest:
+        longest = {s: max(map(len, s.split())) for s in rest}
+        words = sorted({w for s in rest for w in s.split() if len(w) >= min(7, longest[s])})
+        chosen.append(max(words, key=lambda w: (sum(w in s for s in rest), len(w))))
+        rest = [s for s in rest if chosen[-1] not in s]
+    return chosen
+
+
+def _number_of_sentences(text: Column) -> Column:
+    """As many as ``sentences`` parts, for texts without a known sentence, whose words do not matter."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\r\n]|[.!?;][ \t]")
+    return F.size(F.filter(parts, lambda p: p.rlike("[A-Za-z0-9]"))).cast("bigint")
+
+
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """``doc_id, n_sentences, n_known, sentence_ids, licenses`` for every row of ``docs`` (``doc_id, text``).
 
@@ -114,15 +135,21 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULE
     ``licenses`` lists the matched licences in the order of the rules, comma-joined, each once; empty without match. A
     rule matches its identifiers one directly after the other. Null texts have no sentences; repeated rows and null
     ids keep their own row. All steps stay inside the row, so no key can be hot.
+
+    A text without any of a few words, one of which is in every known sentence, holds none; its sentences are only counted.
     """
+    folded = docs.select("doc_id", "text", F.lower("text").alias("folded"))
+    near = F.coalesce(reduce(or_, [F.contains("folded", F.lit(w)) for w in _anchors(known)], F.lit(False)), F.lit(False))
+    looked = folded.select("doc_id", "text", F.when(near, F.col("text")).alias("near"))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     # Known sentences are put between '~', so they are the parts at odd places.
-    marked = F.regexp_replace(sentences(F.col("text")), _known_pattern(known), "~$1~")
-    found = docs.select("doc_id", F.split(marked, "~").alias("parts"))
+    marked = F.regexp_replace(sentences(F.col("near")), _known_pattern(known), "~$1~")
+    found = looked.select("doc_id", "text", F.when(F.col("near").isNotNull(), F.split(marked, "~")).alias("parts"))
     unwrapped = lambda s: F.regexp_replace(s, _WRAP, " ")
     ends = lambda s: F.size(F.filter(F.split(s, "[%&\n]"), lambda p: p != ""))
     found = found.select(
         "doc_id",
+        "text",
         F.transform(
             "parts",
             lambda s, i: F.when(
@@ -133,10 +160,14 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULE
     )
     found = found.select(
         "doc_id",
-        F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).alias("n_sentences"),
-        F.floor((F.size("parts") - 1) / 2).cast("bigint").alias("n_known"),
+        F.when(F.col("parts").isNull(), _number_of_sentences(F.col("text")))
+        .otherwise(F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]))
+        .alias("n_sentences"),
+        F.when(F.col("parts").isNull(), 0).otherwise(F.floor((F.size("parts") - 1) / 2)).cast("bigint").alias("n_known"),
         F.array_join(F.col("parts.id"), "").alias("sentence_ids"),
     )
+    unknown = F.when(F.col("n_sentences") > 0, "|").otherwise("")
+    found = found.withColumn("sentence_ids", F.coalesce("sentence_ids", unknown))
     steps = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in rules]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barlake.llm import licenses
 
@@ -120,3 +121,31 @@ def test_long_runs_and_lines(make_docs):
     runs = [" " * 200_000, "-.;)" * 50_000, "\n" * 200_000, "; " * 100_000, "中" * 200_000, "mit\n" * 50_000, "a " * 100_000]
     docs = make_docs([(k, f"MIT License\n{r}\nMIT License") for k, r in enumerate(runs)])
     assert [r.licenses for r in licenses.scan(docs).collect()] == ["MIT"] * len(runs)
+
+
+# Ends, markers and signs in all orders; the words are in no known sentence.
+COUNTED = [
+    "One. Two! Three? Four; five.six", "a.\tb;\tc", "a;b", "1. one\n2. two", "A. b", "# 1. x; y", "(a) z. ; . q", "rem a\nrem b",
+    "a\r\nb\rc\n\n\nd", "...\n . ; ! ", "", " ", None, "1. . ! a. ", ". a", "\u2028a\u2028b", "\u4e2d\u6587. \u4e2d", "x. \u4e2d. y",
+    "%~&. a%b~c&d", "ii. x\n- iii. y", "q.\u00a0r. ", "12345. x", "1.\tx. 2.\ty", "a!? b", "; a", "a ;", "\u212aeep. \u0130n", "a;\r\n;b",
+]
+
+
+def test_texts_without_words_of_licences_are_only_counted(make_docs, monkeypatch):
+    """Same rows as by the steps for all texts, which such a text does not reach."""
+    rows = list(enumerate(COUNTED + ["License", "MIT LICENSE", "All rights\nReserved", "January. " * 3]))
+    found = lambda: [tuple(r) for r in licenses.scan(make_docs(rows)).orderBy("doc_id").collect()]
+    short = found()
+    monkeypatch.setattr(licenses, "_anchors", lambda known: [""])
+    assert short == found()
+    assert [r[4] for r in short[len(COUNTED) :]] == ["", "MIT", "All-Rights-Reserved", ""]
+    monkeypatch.undo()
+    monkeypatch.setattr(licenses, "sentences", lambda text: F.raise_error(text).cast("string"))
+    plain = licenses.scan(make_docs(list(enumerate(COUNTED))))
+    assert [tuple(r) for r in plain.orderBy("doc_id").collect()] == short[: len(COUNTED)]
+
+
+def test_every_known_sentence_holds_an_anchor():
+    chosen = licenses._anchors(licenses.SENTENCES)
+    assert len(chosen) < 8 and min(map(len, chosen)) > 6
+    assert all(any(w in s for w in chosen) for s in licenses.SENTENCES)
