@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from barlake import schemas
-from barlake.operators import quality
-from barlake.plans import given, medallion
+from barlake.operators import dedup, quality
+from barlake.plans import given, medallion, signal_queries
 from barlake.session import fresh_folder
+from barlake.streaming import keyed_stream
 from barlake.streaming.keyed_stream import OVERLAP, keyed_upsert_stream
 from barlake.streaming.upsert_stream import upsert_stream
 
@@ -84,3 +87,38 @@ def test_keyed_stream_equals_batch_in_any_order_of_files(spark, namespace, newes
         assert outcome.agg(F.max("ingestion_ts")).first()[0] <= newest
     else:
         assert outcome.filter("ingestion_ts IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("waiting", [1 << 17, 30])
+def test_a_task_passes_on_one_row_per_key(spark, monkeypatch, waiting):
+    """Also of many Arrow batches; where more keys wait than are held, a key may come again, but its newest row is there."""
+    monkeypatch.setattr(keyed_stream, "WAITING", waiting, raising=False)
+    every = spark.range(0, 1200, 1, 1).selectExpr(
+        "concat('S', id % 40) AS symbol", "date'2024-01-02' AS date", "CAST(id AS double) AS open", "2D AS high", "1D AS low",
+        "1D AS close", "1D AS adj_close", "1L AS volume", "'t' AS source_system", "'1d' AS source_interval",
+        "CASE WHEN id % 40 <> 7 THEN timestamp_seconds(1700000000 + id % 400) END AS ingestion_ts",
+        "date'2024-01-02' AS ingestion_date", "'run-0' AS ingestion_run_id",
+    )
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "10")
+    try:
+        got = keyed_stream.newest_of_batches(every).collect()
+    finally:
+        spark.conf.unset(size)
+    assert len(got) == 40 if waiting > 1200 else 40 <= len(got) <= 1200
+    newest = {(r.symbol, r.open) for r in dedup.latest_version(every).collect()}
+    assert len(newest) == 40 and newest <= {(r.symbol, r.open) for r in got}
+    assert keyed_stream.newest_of_batches(every.limit(0)).count() == 0
+
+
+def test_a_raw_file_of_a_run_has_several_row_groups(spark):
+    """The tasks of a batch share a large file: it has several row groups."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    wide = ["rand() AS a", "rand() AS b", "rand() AS c", "rand() AS d", "rand() AS e"]
+    raw = spark.range(0, 1_400_000, 1, 2).selectExpr("concat('run-', id % 2) AS ingestion_run_id", "id", *wide)
+    folder = signal_queries._raw_files(spark, raw)
+    assert spark.conf.get(key) == before
+    assert spark.read.parquet(folder).agg(F.count("*"), F.sum("id")).first() == raw.agg(F.count("*"), F.sum("id")).first()
+    groups = [pq.ParquetFile(f).num_row_groups for f in Path(folder.removeprefix("file:")).glob("*/*.parquet")]
+    assert groups and max(groups) > 1
